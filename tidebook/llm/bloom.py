@@ -53,3 +53,26 @@ def with_maybe_repeated(rows: DataFrame, col: str, blocks: int, bits: DataFrame,
         byte = F.conv(F.hex(F.col("__bits").substr(F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = hit & (F.getbit(byte, (p % 8).cast("int")) == 1)
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__block", "__bits")
+
+
+def member_filter(items: DataFrame, col: str, blocks: int) -> DataFrame:
+    """(block, bits) of the bits that any row of ``items`` sets."""
+    bits = items.select(
+        _block(F.col(col), blocks).alias("block"),
+        F.explode(F.array(*[_probe(F.col(col), i) for i in range(PROBES)])).alias("pos"),
+    ).distinct()
+    return bits.repartition("block").groupBy("block").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("bits"))
+
+
+def with_maybe_member(rows: DataFrame, col: str, blocks: int, bits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false means that the item isn't in the filter."""
+    return with_maybe_repeated(rows, col, blocks, bits, name)
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame, n_dropped: int) -> DataFrame:
+    """Anti join on the long ``key``: only rows that may be in ``dropped`` are shuffled."""
+    blocks = n_blocks(n_dropped)
+    flagged = with_maybe_member(rows, key, blocks, member_filter(dropped.select(key), key, blocks), "__hit")
+    passed = flagged.filter(~F.col("__hit")).drop("__hit")
+    tested = flagged.filter("__hit").drop("__hit").join(dropped.select(key), key, "left_anti")
+    return passed.unionByName(tested)

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, secrets, sharding, topk
+from . import exact_dedup, langid, mixing, near_dedup, packing, secrets, sharding, topk
 from .base import table
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,17 +48,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
-def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def packed_digest(docs: DataFrame) -> DataFrame:
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_kd_shards, op6_exact_dedup, op7_mix, op8_secrets, op9_pack, op10_top_k)
+    found = (op1_language_id, op2_kd_shards, op5_near_dedup, op6_exact_dedup, op7_mix, op8_secrets, op9_pack, op10_top_k)
     return {f.__name__: f for f in found}
 
 

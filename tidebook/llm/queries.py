@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, secrets, sharding, topk
+from . import exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk
 from .base import table
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -62,7 +71,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_kd_shards, op5_near_dedup, op6_exact_dedup, op7_mix, op8_secrets, op9_pack, op10_top_k)
+    found = (
+        op1_language_id,
+        op2_kd_shards,
+        op3_html_text,
+        op4_line_dedup,
+        op5_near_dedup,
+        op6_exact_dedup,
+        op7_mix,
+        op8_secrets,
+        op9_pack,
+        op10_top_k,
+    )
     return {f.__name__: f for f in found}
 
 

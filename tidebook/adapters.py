@@ -66,6 +66,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(used) + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(used) + ",\n" + body[5:]
     return "with " + ",\n".join(used) + "\n" + body

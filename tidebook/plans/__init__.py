@@ -1,3 +1,3 @@
 """Registered queries over the adapter views."""
 
-from . import signals_q, streams_q  # noqa: F401
+from . import signals_q, stats_q, streams_q  # noqa: F401

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_CHUNK = 20_000
-PAGE = 64
+PAGE = 256
 BLOCK = 8192
 LONG = (1 << 63) - 1
 
@@ -55,6 +55,8 @@ class MTree:
         self.ids, self.xs = ids, xs
         norms = np.einsum("ij,ij->i", xs, xs)
         self.top = float(norms.max(initial=0.0))
+        self.unique = len(np.unique(ids)) == len(ids)
+        self.high = float(np.abs(xs).max(initial=0.0))
         self.points = np.hstack([xs, np.sqrt(np.maximum(self.top - norms, 0.0))[:, None]])
         self.nodes: list[dict] = []
         self.root = self._load(np.arange(len(ids)), 0) if len(ids) else None
@@ -66,7 +68,7 @@ class MTree:
     def _load(self, rows: np.ndarray, route: int) -> int:
         """A page for ``rows`` whose entries know their distance to ``route``."""
         if len(rows) <= PAGE:
-            self.nodes.append({"rows": rows, "parent": self._apart(rows, route)})
+            self.nodes.append({"rows": rows, "parent": self._apart(rows, route), "ids": self.ids[rows], "xs": self.xs[rows]})
             return len(self.nodes) - 1
         n = min(PAGE, -(-len(rows) // (PAGE // 2)))
         seeds = rows[np.linspace(0, len(rows) - 1, n).astype(int)]
@@ -91,6 +93,7 @@ class MTree:
         qq = float(q @ q)
         point = np.append(q, 0.0)
         slack = 1e-9 * (1.0 + qq + self.top)
+        exact = self.high * float(np.abs(q).max(initial=0.0)) * max(1, len(q)) < 2.0**53
 
         def limit() -> float:
             if len(best) < k:
@@ -99,31 +102,40 @@ class MTree:
 
         gap = float(np.linalg.norm(point - self.points[0]))
         heap = [(0.0, self.root, gap)]
+        most = limit()
         while heap:
             bound, at, gap = heapq.heappop(heap)
-            most = limit()
             if bound > most:
                 break
             page = self.nodes[at]
             least = np.abs(gap - page["parent"])
             if "rows" in page:
-                some = page["rows"][least <= most]
-                some = some[self.ids[some] != qid]
+                near = least <= most
+                n = int(near.sum())
+                if not n:
+                    continue
+                ids, xs = (page["ids"], page["xs"]) if 2 * n > len(near) else (page["ids"][near], page["xs"][near])
+                scores = xs @ q if exact else np.array(dots(xs, q), dtype=object)
+                floor = best[-1][0] if len(best) >= k else None
+                if floor is None and exact and self.unique and len(scores) > 2 * k:
+                    floor = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]  # one spare for the query's own row
+                some = np.flatnonzero(scores >= floor) if floor is not None else range(len(scores))
+                found = {i: s for s, i in best}
+                for row in some:
+                    i = -int(ids[row])
+                    if -i != qid:
+                        found[i] = max(int(scores[row]), found.get(i, int(scores[row])))
                 if len(some):
-                    found = dict((i, s) for s, i in best)
-                    for row, s in zip(some, dots(self.xs[some], q)):
-                        i = -int(self.ids[row])
-                        found[i] = max(s, found.get(i, s))
                     best = sorted(((s, i) for i, s in found.items()), reverse=True)[:k]
+                    most = limit()
                 continue
             maybe = np.flatnonzero(least - page["radius"] <= most)
             if len(maybe):
                 d = self.points[page["routes"][maybe]] - point
                 gaps = np.sqrt(np.einsum("ij,ij->i", d, d))
-                for j, g in zip(maybe, gaps):
-                    lower = max(0.0, g - page["radius"][j], least[j] - page["radius"][j])
-                    if lower <= most:
-                        heapq.heappush(heap, (lower, page["below"][j], g))
+                lower = np.maximum(np.maximum(gaps, least[maybe]) - page["radius"][maybe], 0.0)
+                for j in np.flatnonzero(lower <= most):
+                    heapq.heappush(heap, (float(lower[j]), page["below"][maybe[j]], float(gaps[j])))
         return best
 
 

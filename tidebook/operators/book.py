@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +50,12 @@ def best_quotes(updates: DataFrame, by: Sequence[str] = SEGMENT) -> DataFrame:
 def best_quotes_by_kernel(updates: DataFrame, by: Sequence[str] = SEGMENT) -> DataFrame:
     """The same by one pass over each segment in Arrow batches; best for long segments."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
         import heapq
 
+        import numpy as np
+        import pandas as pd
+
         pdf = pdf.sort_values(["seq", "pos"] if "pos" in pdf else ["seq"])
         books: dict[str, dict] = {"bid": {}, "ask": {}}
         heaps: dict[str, list] = {"bid": [], "ask": []}

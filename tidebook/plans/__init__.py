@@ -1,3 +1,3 @@
 """Registered queries over the adapter views."""
 
-from . import replay_q, signals_q, stats_q, streams_q  # noqa: F401
+from . import replay_q, reports_q, signals_q, stats_q, streams_q  # noqa: F401

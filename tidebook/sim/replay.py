@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from decimal import Decimal
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +139,8 @@ def _levels(v) -> list[tuple[Decimal, Decimal]]:
     return [] if v is None else [(x["price"].normalize(), x["qty"]) if isinstance(x, dict) else (x[0].normalize(), x[1]) for x in v]
 
 
-def events_of(pdf: pd.DataFrame) -> list[dict]:
-    """Plain events from a session's rows, in replay order."""
+def events_of(pdf) -> list[dict]:
+    """Plain events from a session's rows (pandas), in replay order."""
     rows = pdf.sort_values(["time_ms", "kind", "seq"], kind="stable").to_dict("records")
     for e in rows:
         if e["kind"] == 0:
@@ -161,7 +160,9 @@ def replay(
     """
     grid = list(settings)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
+        import pandas as pd
+
         no = int(pdf["config_no"].iloc[0])
         r = Replay(grid[no], strategy(), samples)
         r.run(events_of(pdf))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,9 @@ def best_quotes(updates: DataFrame) -> DataFrame:
     State is one JSON text per session: side -> price -> quantity.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def step(key, batches, state):
+        import pandas as pd
+
         book = json.loads(state.get[0]) if state.exists else {"bid": {}, "ask": {}}
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -55,7 +55,9 @@ def best_quotes(updates: DataFrame) -> DataFrame:
 def trade_gaps(trades: DataFrame) -> DataFrame:
     """Gap marks of trade ids across batches; the last id of a session is its state."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def step(key, batches, state):
+        import pandas as pd
+
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("seq")
         ids = rows["agg_trade_id"].tolist()

@@ -11,20 +11,21 @@ from .base import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b); the label is the least node of the component.
 
-    A round takes the least label of all neighbours and then the label of one's
+    A round takes the least label of a node and its neighbours, and then that label's own
     label, so the number of rounds grows with the logarithm of the longest path.
-    Minima are combined before each shuffle; a hub's links can be split by the
-    join, as both of its inputs are plain exchanges.
+    Minima are combined before the shuffle; a hub's links can be split by the join,
+    as both of its inputs are plain exchanges.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    labels = checkpointed(labels)
+    none = F.lit(None).cast(labels.schema["label"].dataType)
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "heard").alias("new"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        moved = lower.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old")
-        moved = checkpointed(moved)
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", none.alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        lower = heard.union(own).groupBy("node").agg(F.min("label").alias("near"), F.max("old").alias("old"))
+        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        moved = checkpointed(lower.join(jump, "near", "left").select("node", F.coalesce("far", "near").alias("label"), "old"))
         labels = moved.select("node", "label")
         if moved.filter(F.col("label") != F.col("old")).isEmpty():
             return labels

@@ -113,15 +113,17 @@ class Model:
         self.idf = np.log((1.0 + len(samples)) / (1.0 + df)) + 1.0
         self.langs: list[str] = []
         rows = []
-        dense = defaultdict(list)
+        of = defaultdict(list)
         for lang, at, counts, _ in samples:
-            v = np.zeros(DIMS)
-            v[at] = _vector(at, counts, self.idf)
-            dense[lang].append(v)
-        for lang in sorted(dense):
-            for c in _cluster(np.stack(dense[lang]), centroids):
+            of[lang].append((at, counts))
+        for lang in sorted(of):  # one language's dense vectors at a time
+            dense = np.zeros((len(of[lang]), DIMS), dtype=np.float32)
+            for row, (at, counts) in zip(dense, of[lang]):
+                row[at] = _vector(at, counts, self.idf)
+            for c in _cluster(dense, centroids):
                 self.langs.append(lang)
-                rows.append(c)
+                rows.append(c.astype(np.float64))
+            del dense
         self.rows = np.stack(rows, axis=1) if rows else np.zeros((DIMS, 0))
         least = np.full(33, np.inf)
         for lang, at, counts, n in samples:

@@ -8,10 +8,10 @@ from the longer one alone (an insertion). Each line emits the hashes of its
 variants, equal ones are joined, and every pair is verified on the texts.
 
 All variants of all lines would be hundreds of times the input, so a lossless first
-step leaves out lines that can't have a partner: two lines within one edit share the
-first or the second half (of the shorter length n), so only lines whose half
-(with n) occurs in another line emit variants. That set is kept as a bitmap of
-bounded size; its false hits only cost work.
+step leaves out most of them: cut at quarters of the shorter length, two lines within one edit
+agree outside one quarter. So a line emits variants of a quarter only if what is
+outside it (with length and place) occurs in another line, too. The set of such shared
+outsides is kept as a bitmap of bounded size; its rare false hits only cost work.
 
 Same-place variants form groups in which lines differ in one character, so a group is
 never larger than the alphabet. Equal lines are reduced to one before any join.
@@ -34,23 +34,32 @@ from .base import attach_groups, checkpointed, text_or_empty
 from .graph import components
 
 MIN_CHARS = 12
-#: Bits of the set of shared halves: 2^22 to 2^30, 16 or more for each member if that many do.
-MIN_BITS, MAX_BITS = 22, 30
+PIECES = 4
+#: Bits of a set of hashes: 2^20 to 2^30, 32 or more for each member if that many do, and probes of each.
+MIN_BITS, MAX_BITS, PROBES = 20, 30, 3
 _U = np.uint64
 _BASE = _U(0x100000001B3)
 _INV = _U(pow(0x100000001B3, -1, 1 << 64))
 
 
-def halves(line: str) -> list[int]:
-    """Keys of the halves that a partner within one edit may share, as signed 64-bit numbers."""
+def bounds(n: int) -> list[int]:
+    return [i * n // PIECES for i in range(PIECES + 1)]
+
+
+def outsides(line: str) -> list[int]:
+    """Keys of what is outside each piece, as signed 64-bit numbers.
+
+    First with the line as the shorter of a pair (or as long as its partner), then as the longer one.
+    """
     import xxhash
 
     size = len(line)
     out = []
     for n in (size, size - 1):
-        m = n // 2
-        for side, part in ((0, line[:m]), (1, line[size - (n - m) :])):
-            h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=2 * n + side)
+        cut = bounds(n)
+        for i in range(PIECES):
+            part = line[: cut[i]] + "\n" + line[size - (n - cut[i + 1]) :]
+            h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=PIECES * n + i)
             out.append(h - (1 << 64) if h >> 63 else h)
     return out
 
@@ -88,29 +97,33 @@ def lines_of(text: str) -> list[str]:
 
 
 class Bits:
-    """A set of 64-bit hashes as one bit each."""
+    """A set of 64-bit hashes as a Bloom filter."""
 
     def __init__(self, bits: int):
         self.bits = bits
         self.words = np.zeros(1 << (bits - 3), dtype=np.uint8)
 
     @staticmethod
-    def slot(h: np.ndarray, bits: int) -> np.ndarray:
-        return (h.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)
+    def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+        u = h.astype(np.uint64)
+        odd = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
+        return [((u ^ (u >> _U(29))) * c) >> _U(64 - bits) for c in odd[:PROBES]]
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = self.slot(h, self.bits)
-        return (self.words[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
+        hit = np.ones(h.shape, dtype=bool)
+        for at in self.slots(h, self.bits):
+            hit &= (self.words[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return hit
 
     @classmethod
     def of(cls, keys: DataFrame, col: str, n: int) -> Bits:
         """Built from 4 KB pieces, so that the driver gets no more than the bitmap."""
-        bits = max(MIN_BITS, min(MAX_BITS, (16 * n).bit_length()))
+        bits = max(MIN_BITS, min(MAX_BITS, (32 * n).bit_length()))
         own = cls(bits)
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = cls.slot(np.asarray(batch.column(0)), bits).astype(np.int64)
+                at = np.concatenate(cls.slots(np.asarray(batch.column(0)), bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["piece", "pos"])
 
         pieces = keys.select(col).mapInArrow(slots, "piece long, pos long").repartition("piece")
@@ -119,32 +132,42 @@ class Bits:
         return own
 
 
-def _half_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outside_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             lines = {x for t in batch.slice(at, 512).column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS}
             keys, owners = [], []
             for x in lines:
-                own = halves(x)
+                own = outsides(x)
                 keys += own
                 owners += [int.from_bytes(line_id(x)[:8], "little", signed=True)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], ["key", "owner"])
 
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variants(batches: Iterator[pa.RecordBatch], longer: bool) -> Iterator[pa.RecordBatch]:
+    """Variants of the pieces that ``mask`` names: as an equally long partner, or as the longer one."""
     for batch in batches:
-        for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, own = variants(line)
-            for a in range(0, len(own), 50_000):
-                some = own[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some),
-                        pa.array(np.arange(a, a + len(some), dtype=np.int32)),
-                        pa.array([node] * len(some), pa.binary()),
-                    ],
-                    ["hv", "pos", "node"],
-                )
+        hv, pos, nodes, size = [], [], [], 0
+        for node, line, mask in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            mask = mask >> PIECES if longer else mask & ((1 << PIECES) - 1)
+            if not mask:
+                continue
+            own = variants(line)[1]
+            cut = bounds(len(line) - longer)
+            at = np.unique(np.concatenate([np.arange(cut[i], cut[i + 1] + longer) for i in range(PIECES) if mask >> i & 1]))
+            hv.append(own[at])
+            pos.append(at.astype(np.int32))
+            nodes += [node] * len(at)
+            size += len(at)
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hv)), pa.array(np.concatenate(pos)), pa.array(nodes, pa.binary())], ["hv", "pos", "node"])
+                hv, pos, nodes, size = [], [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hv)), pa.array(np.concatenate(pos)), pa.array(nodes, pa.binary())], ["hv", "pos", "node"])
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _variants(batches, False)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +177,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes within one edit that join all such nodes; ``texts``: node, line."""
-    rows = texts.select("node", "line").mapInArrow(_variant_rows, "hv long, pos int, node binary")
+    """(a, b): pairs of nodes within one edit that join all such nodes; ``texts``: node, line, mask."""
+    rows = texts.select("node", "line", "mask").mapInArrow(_replaced, "hv long, pos int, node binary")
     least, most = F.min("node"), F.max("node")
     same = rows.groupBy("hv", "pos").agg(least.alias("a"), most.alias("b"), F.count("*").alias("n")).filter("n >= 2")
     same = checkpointed(same)
@@ -174,12 +197,12 @@ def _links(texts: DataFrame) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(Bits.of(wholes, "hv", wholes.count()))
 
     def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _variant_rows(batches):
+        for batch in _variants(batches, True):
             hit = known.value.has(np.asarray(batch.column(0)))
             if hit.any():
                 yield batch.filter(pa.array(hit)).select([0, 2])
 
-    inserted = texts.select("node", "line").mapInArrow(shorter, "hv long, node binary").distinct()
+    inserted = texts.select("node", "line", "mask").mapInArrow(shorter, "hv long, node binary").distinct()
     inserted = inserted.join(wholes.select("hv", F.col("node").alias("a")), "hv").select("a", F.col("node").alias("b"))
     pairs = pairs.union(inserted).distinct()
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
@@ -191,7 +214,7 @@ def _links(texts: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document id: doc_id, n_lines, n_dropped, dropped (line numbers from 0, sorted)."""
     text = text_or_empty(text_col)
-    owners = docs.select(text.alias("text")).mapInArrow(_half_keys, "key long, owner long")
+    owners = docs.select(text.alias("text")).mapInArrow(_outside_keys, "key long, owner long")
     ends = owners.groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
     shared = checkpointed(ends.filter("lo <> hi").select("key"))
     bits = docs.sparkSession.sparkContext.broadcast(Bits.of(shared, "key", shared.count()))
@@ -215,14 +238,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 lines = sorted({x for t in batch.slice(at, 512).column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS})
-                hit = bits.value.has(np.array([halves(x) for x in lines], dtype=np.int64).reshape(-1, 4)).any(axis=1)
-                lines = [x for x, ok in zip(lines, hit) if ok]
+                hits = bits.value.has(np.array([outsides(x) for x in lines], dtype=np.int64).reshape(-1, 2 * PIECES))
+                masks = hits @ (1 << np.arange(2 * PIECES))
+                lines, masks = [x for x, m in zip(lines, masks) if m], masks[masks > 0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([line_id(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], ["node", "line"]
+                    [pa.array([line_id(x) for x in lines], pa.binary()), pa.array(lines, pa.string()), pa.array(masks, pa.int32())],
+                    ["node", "line", "mask"],
                 )
 
-    texts = docs.select(text.alias("text")).mapInArrow(partnered, "node binary, line string")
-    texts = checkpointed(texts.groupBy("node").agg(F.first("line").alias("line")))
+    texts = docs.select(text.alias("text")).mapInArrow(partnered, "node binary, line string, mask int")
+    texts = checkpointed(texts.groupBy("node").agg(F.first("line").alias("line"), F.first("mask").alias("mask")))
     labels = components(_links(texts))
     places = checkpointed(
         docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed
+from .base import checkpointed, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,3 +29,4 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter(F.col("label") != F.col("old")).isEmpty():
             return labels
+        tidy(links.sparkSession)

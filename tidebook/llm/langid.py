@@ -176,7 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             )
 
     got = rows.mapInArrow(vectors, "lang string, at binary, counts binary, n long").collect()
-    samples = [(r[0], np.frombuffer(r[1], "<i2").astype(np.int64), np.frombuffer(r[2], "<f4").astype(np.float64), r[3]) for r in got]
+    samples = [(r[0], np.frombuffer(r[1], "<i2"), np.frombuffer(r[2], "<f4"), r[3]) for r in got]
     samples.sort(key=lambda s: (s[0], s[3], s[1].tobytes(), s[2].tobytes()))
     return Model(samples)
 

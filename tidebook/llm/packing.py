@@ -50,7 +50,8 @@ def pack(
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_bpe(vocabulary).encode
+        encoder = word_bpe(vocabulary)
+        encode = encoder.encode
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -65,6 +66,7 @@ def pack(
                             col.append(value)
                         start += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")

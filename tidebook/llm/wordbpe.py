@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -41,9 +41,8 @@ class WordBpe:
     def __init__(self, path: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         byte_of, vocab = _byte_of(), model["vocab"]
@@ -68,7 +67,15 @@ class WordBpe:
         self.words = regex.compile(PRE_TOKENS).findall
         self.forget()
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
+        """Empty the table of chunks; a worker that waits for other tasks needn't hold it."""
         self.at: dict[str, int] = {}
         self.start = np.zeros(1024, dtype=np.int64)
         self.count = np.zeros(1024, dtype=np.int64)

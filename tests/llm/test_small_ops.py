@@ -259,6 +259,21 @@ def test_near_dedup_finds_edits_and_spares_others(spark, odd, empty):
     assert near_dedup.near_classes(empty).count() == near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_finds_pairs_at_the_stated_similarity(spark):
+    rng = np.random.default_rng(8)
+    docs = []
+    for g in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+        edited = list(base)
+        for i in rng.choice(200, 40 if g % 2 else 20, replace=False):  # similarities of 0.8 and 0.9
+            edited[i] = f"new{i}"
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[4 * g] == got[4 * g + 1] for g in range(30))
+    assert sum(got[4 * g + 2] == got[4 * g + 3] for g in range(30)) >= 28
+    assert len(set(got.values())) <= 62
+
+
 def test_banded_alignment_equals_plain_edit_distance():
     rng = np.random.default_rng(5)
     for _ in range(400):

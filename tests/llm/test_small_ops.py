@@ -274,6 +274,40 @@ def test_near_dedup_finds_pairs_at_the_stated_similarity(spark):
     assert len(set(got.values())) <= 62
 
 
+def test_near_dedup_finds_pairs_among_strangers_with_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    passage = [f"p{i}" for i in range(150)]
+    docs = []
+    for g in range(40):
+        own = [f"d{g}_{i}" for i in range(60)]
+        edited = [f"e{g}_{i}" if i % 3 == 0 else w for i, w in enumerate(own)]  # no private k-mer stays: 0.905, strangers 0.71
+        docs += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + edited))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_close_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 32, int(rng.integers(1, 120))).astype(np.uint64)
+        texts.append(base)
+        edited = base.copy()
+        at = rng.random(len(base)) < 0.15
+        edited[at] = rng.integers(0, 1 << 32, int(at.sum()))
+        texts.append(np.delete(edited, slice(0, len(base) // 20)))
+    n, label = np.array([len(t) for t in texts]), np.arange(len(texts))
+    counts = np.stack([near_dedup.profile(t) for t in texts])
+    every = np.arange(len(texts))
+    found = set(zip(*(x.tolist() for x in near_dedup.close_pairs(every, every, n, label, counts))))
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near_dedup.similar(texts[i], texts[j])}
+    assert similar <= found and len(found) < 100
+    halves = every[:31], every[31:]
+    across = set(zip(*(x.tolist() for x in near_dedup.close_pairs(*halves, n, label, counts))))
+    assert across == {(i, j) for i, j in found if i < 31 <= j}
+    assert not len(near_dedup.close_pairs(every, every, n, np.zeros(len(texts)), counts)[0])
+
+
 def test_banded_alignment_equals_plain_edit_distance():
     rng = np.random.default_rng(5)
     for _ in range(400):

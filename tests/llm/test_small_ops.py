@@ -228,6 +228,19 @@ def test_language_id_holds_out_and_rejects(spark, odd, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_unseen_language_and_gibberish_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(4)
+    gibberish = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), k)) for k in (100, 400, 2000, 5000, 100_000) for _ in range(4)]
+    swahili = "Watu wote wamezaliwa huru na wako sawa kwa heshima na haki zao. Wote wamejaliwa akili na dhamiri."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    assert all(model.predict(t)[2] for t in [*gibberish, *(t * n for t in (swahili, finnish) for n in (1, 3, 30))])
+    held = [r["text"] for r in docs.filter(langid.held_out("doc_id")).collect()]
+    clean = [t for t in held if len(set(t.split())) > 0.2 * len(t.split()) and langid.grams(t)[2]]
+    assert len(clean) > 100 and not any(model.predict(t)[2] for t in clean)
+
+
 def test_training_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "t", "en" if i % 3 else "fr") for i in range(3000)], "doc_id long, text string, lang string")
     n = Counter(r["lang"] for r in langid.training_rows(docs, "doc_id", "text", "lang", 100).collect())

@@ -5,8 +5,8 @@ character 1- to 4-grams are hashed into ``DIMS`` buckets. Vectors are log-scaled
 times inverse document frequency, of unit length. Each language has up to
 ``CENTROIDS`` centroids, found by seeded spherical k-means on its training texts;
 a text gets the language of the centroid with the greatest cosine. It is rejected
-if its distance is far beyond what training texts of about its length show, or if
-it has no letter.
+if its distance is far beyond what training texts of this language and of about its
+length show to centroids that were fitted without them, or if it has no letter.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of each
 language (all, if fewer), chosen by a hash of the id; a language's sample is cut at
@@ -36,8 +36,11 @@ SAMPLE = 384
 CENTROIDS = 4
 UNKNOWN = "und"
 SEED = 17
-#: A text is rejected below this share of the least cosine of training texts of about its length.
-SLACK = 0.3
+#: A text is rejected below this share of a low quantile of the cosines of training texts of its language and about its length.
+SLACK = 0.5
+QUANTILE = 0.1
+#: With fewer such texts, those of all languages count.
+ENOUGH = 8
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
@@ -103,7 +106,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 
 
 class Model:
-    """Languages, their centroids, inverse document frequencies and least cosines by length."""
+    """Languages, their centroids, inverse document frequencies and least cosines by language and length."""
 
     def __init__(self, samples: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS):
         samples = [s for s in samples if s[3]]
@@ -114,24 +117,24 @@ class Model:
         self.langs: list[str] = []
         rows = []
         of = defaultdict(list)
-        for lang, at, counts, _ in samples:
-            of[lang].append((at, counts))
+        for lang, at, counts, n in samples:
+            of[lang].append((at, counts, n))
+        seen: dict[str, dict[int, list[float]]] = {}
         for lang in sorted(of):  # one language's dense vectors at a time
             dense = np.zeros((len(of[lang]), DIMS), dtype=np.float32)
-            for row, (at, counts) in zip(dense, of[lang]):
+            for row, (at, counts, _) in zip(dense, of[lang]):
                 row[at] = _vector(at, counts, self.idf)
             for c in _cluster(dense, centroids):
                 self.langs.append(lang)
                 rows.append(c.astype(np.float64))
+            seen[lang] = defaultdict(list)
+            for half in (0, 1) if len(dense) > 1 else ():
+                others = _cluster(dense[1 - half :: 2], centroids)
+                for cos, (_, _, n) in zip((dense[half::2] @ others.T).max(axis=1), of[lang][half::2]):
+                    seen[lang][n.bit_length()].append(float(cos))
             del dense
         self.rows = np.stack(rows, axis=1) if rows else np.zeros((DIMS, 0))
-        least = np.full(33, np.inf)
-        for lang, at, counts, n in samples:
-            cos = _vector(at, counts, self.idf) @ self.rows[at]
-            b = n.bit_length()
-            least[b] = min(least[b], max(c for c, own in zip(cos, self.langs) if own == lang))
-        near = np.array([least[max(0, b - 1) : b + 2].min() for b in range(33)])
-        self.least = np.where(np.isfinite(near), near * SLACK, 0.0)
+        self.least = _least(seen)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
@@ -141,7 +144,24 @@ class Model:
         cos = _vector(at, counts, self.idf) @ self.rows[at]
         i = int(cos.argmax())
         score = float(min(1.0, max(0.0, cos[i])))
-        return self.langs[i], score, score < self.least[min(32, n.bit_length())]
+        return self.langs[i], score, score < self.least[self.langs[i]][min(32, n.bit_length())]
+
+
+def _least(seen: dict[str, dict[int, list[float]]]) -> dict[str, np.ndarray]:
+    """The least cosines by language and length class; a class without enough texts of any language has those of the nearest that has."""
+
+    def around(b: int, langs: list[str]) -> list[float]:
+        return [c for lang in langs for near in (b - 1, b, b + 1) for c in seen[lang].get(near, ())]
+
+    many = [len(around(b, list(seen))) for b in range(33)]
+    filled = [b for b in range(33) if many[b] >= min(ENOUGH, max(many)) > 0]
+    least = {lang: np.zeros(33) for lang in seen}
+    for lang in seen:
+        for b in range(33) if filled else ():
+            near = min(filled, key=lambda x: (abs(x - b), x))
+            own = around(near, [lang])
+            least[lang][b] = SLACK * np.quantile(own if len(own) >= ENOUGH else around(near, list(seen)), QUANTILE)
+    return least
 
 
 def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

@@ -273,3 +273,24 @@ def test_stateful_book_across_batches(spark, tmp_path):
     q.stop()
     got = {r["seq"]: (r["bid"], r["bid_qty"], r["ask"], r["ask_qty"]) for r in spark.sql("select * from bbo").collect()}
     assert got == {0: (100, 5, None, None), 1: (100, 5, 102, 3), 2: (101, 1, 102, 3), 3: (100, 5, 102, 3)}
+
+
+@pytest.mark.parametrize("name, operator", [("l14_bootstrap", "bootstrap_mean"), ("l15_cluster_contrast", "cluster_contrast"), ("l18_strategy_gate", "bootstrap_mean")])
+def test_queries_draw_as_often_as_the_reference(spark, monkeypatch, name, operator):
+    import inspect
+
+    from tidebook.operators import stats
+    from tidebook.plans import stats_q
+
+    real, drawn = getattr(stats, operator), []
+
+    def spy(*args, **more):
+        bound = inspect.signature(real).bind(*args, **more)
+        bound.apply_defaults()
+        drawn.append(bound.arguments["iterations"])
+        raise StopIteration
+
+    monkeypatch.setattr(stats, operator, spy)
+    with pytest.raises(StopIteration):
+        getattr(stats_q, name)(spark, "/root/testdata/sf0.001")
+    assert drawn == [10_000]

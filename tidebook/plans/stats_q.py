@@ -50,13 +50,13 @@ def l13_pooled_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l14_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = P.markouts(view(spark, sf_dir, "fills"), view(spark, sf_dir, "quotes"), H)
     per = marks.groupBy("session_id", "horizon_ms").agg(F.avg("markout_bps").alias("m"))
-    return T.bootstrap_mean(per, "m", ["horizon_ms"], ["session_id"], iterations=2000)
+    return T.bootstrap_mean(per, "m", ["horizon_ms"], ["session_id"])
 
 
 @query()
 def l15_cluster_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _toxicity(spark, sf_dir).filter(F.col("horizon_ms") == MIN30).withColumn("g", F.when(F.col("side_aligned") < 0, "low").otherwise("high"))
-    return T.cluster_contrast(rows, "session_id", "g", "move_bps", "low", "high", iterations=2000)
+    return T.cluster_contrast(rows, "session_id", "g", "move_bps", "low", "high")
 
 
 @query()
@@ -257,7 +257,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l18_strategy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     delta = pairs.select(F.lit(0).alias("one"), "window", (F.col("matched_net_c") / F.col("matched_qty_c") - F.col("matched_net_b") / F.col("matched_qty_b")).alias("delta"))
-    ci = T.bootstrap_mean(delta, "delta", ["one"], ["window"], iterations=2000).first()
+    ci = T.bootstrap_mean(delta, "delta", ["one"], ["window"]).first()
     return G.strategy_gate(pairs, ci["ci_low"])
 
 

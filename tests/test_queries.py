@@ -41,3 +41,9 @@ def test_matches_sql(spark, duck, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert len(df.collect()) >= 0 and df.columns
+
+
+def test_panel_covers_every_session(spark):
+    got = QUERIES["h5_balanced_panel"](spark, SF).collect()
+    sessions = {r["session_id"] for r in QUERIES["f22_window_descriptors"](spark, SF).collect()}
+    assert len(sessions) > 1 and {r["session_id"] for r in got} == sessions

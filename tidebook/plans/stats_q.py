@@ -207,6 +207,12 @@ def g6_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.terciles(days).select("start_ms", "tercile")
 
 
+@query(f"""{MIDS}, {DESC} select session_id, start_ms, case ntile(3) over (partition by session_id order by round(v1, 6), start_ms) when 1 then 'low' when 2 then 'mid' else 'high' end as tercile from de""")
+def g6_terciles_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _days(spark, sf_dir).withColumn("vol_1_bps", F.round("vol_1_bps", 6))
+    return W.terciles(days, by=S.BY).select("session_id", "start_ms", "tercile")
+
+
 @query(f"""{MIDS}, {DESC}, v as (select session_id, unnest([{{'d': 'drift_bps', 'v': drift}}, {{'d': 'vol_1_bps', 'v': v1}}]) as x from de),
 s as (select x.d as descriptor, quantile_cont(x.v, 0.1) filter (session_id < 2) as p10, quantile_cont(x.v, 0.9) filter (session_id < 2) as p90, median(x.v) filter (session_id >= 2) as hm,
 avg(x.v) filter (session_id < 2) as md, avg(x.v) filter (session_id >= 2) as mh, var_pop(x.v) filter (session_id < 2) as vd, var_pop(x.v) filter (session_id >= 2) as vh from v group by 1)
@@ -219,9 +225,9 @@ def f24_regime_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def h5_balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = W.with_start_bucket(W.terciles(_days(spark, sf_dir).filter("session_id = 0")))
+    d = W.with_start_bucket(W.terciles(_days(spark, sf_dir), by=S.BY))
     d = d.withColumn("end_ms", F.col("start_ms") + 5 * HOUR)
-    return W.select_balanced(d, [], 8)
+    return W.select_balanced(d, [], 8, S.BY)
 
 
 @query(f"""{MIDS}, {DESC}, recursive_s as (select start_ms, start_ms + {3 * DAY} as end_ms from de where session_id = 0),
@@ -231,6 +237,12 @@ def g14_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.capacity(d)
 
 
+@query(f"""{MIDS}, {DESC}, m as (select session_id, min(start_ms) as lo from de group by 1) select session_id, count(distinct (start_ms - lo) // {3 * DAY}) as capacity from de join m using (session_id) group by 1""")
+def g14_capacity_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _days(spark, sf_dir).withColumn("end_ms", F.col("start_ms") + 3 * DAY)
+    return W.capacity(d, by=S.BY)
+
+
 @query(f"""with {QL}, {PNL} select session_id, case when gross - fees >= 0 then 'not_loss_window' when gross - spread_capture < 0 and spread_capture < 0 then 'matched_and_residual_loss' when gross - spread_capture < 0 then 'residual_inventory_loss'
 when spread_capture < 0 then 'matched_loss' else 'other_loss' end as loss_source from pl""")
 def e11_loss_source(spark: SparkSession, sf_dir: str) -> DataFrame:

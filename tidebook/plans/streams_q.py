@@ -213,6 +213,28 @@ def c7_top_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.top_levels(u.filter("seq % 25 = 0").select("session_id", "segment_id", "seq"), u, 3).select("seq", "book_side", "rank", "price", "qty")
 
 
+@query(f"""with {LIVES} select seq, count_if(side = 'bid')::bigint as bid_count, count_if(side = 'ask')::bigint as ask_count from bk group by 1""")
+def c6_depth_counts_every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = view(spark, sf_dir, "level_updates")
+    return B.depth_counts(u.select("session_id", "segment_id", "seq"), u).select("seq", "bid_count", "ask_count")
+
+
+@query("""with lv0 as (select *, lead(seq) over (partition by session_id, segment_id, side, price order by seq) as to_seq from level_updates)
+select p.seq, p.price, coalesce(sum(l.qty), 0)::bigint as book_qty from (select *, seq + 7 as at from level_updates) p left join lv0 l
+on p.session_id = l.session_id and p.segment_id = l.segment_id and p.side = l.side and p.price = l.price and l.qty > 0 and l.seq <= p.at and (l.to_seq is null or p.at < l.to_seq) group by 1, 2""")
+def c6_qty_at_price_every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = view(spark, sf_dir, "level_updates")
+    probes = u.select("session_id", "segment_id", "side", "price", F.col("seq").alias("of"), (F.col("seq") + 7).alias("seq"))
+    return B.qty_at(probes, u).select(F.col("of").alias("seq"), "price", "book_qty")
+
+
+@query(f"""with {LIVES}, r as (select *, row_number() over (partition by seq, side order by case side when 'bid' then -price else price end) as rank from bk)
+select seq, side as book_side, rank::int as rank, price, qty from r where rank <= 3""")
+def c7_top_levels_every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = view(spark, sf_dir, "level_updates")
+    return B.top_levels(u.select("session_id", "segment_id", "seq"), u, 3).select("seq", "book_side", "rank", "price", "qty")
+
+
 @query(f"""with {LIVES}, p as (select session_id, segment_id, seq, row_number() over (partition by session_id, segment_id order by seq) as no from level_updates),
 x as (select p.seq, a.side, a.price, a.qty from p join bk a using (session_id, segment_id, seq) where p.no % 20 = 0),
 j as (select seq, coalesce(string_agg('["' || price || '","' || qty || '"]', ',' order by price desc) filter (side = 'bid'), '') as b,

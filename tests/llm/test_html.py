@@ -46,14 +46,14 @@ def test_made_up_pages_it_has_not_seen():
     for _ in range(150):
         blocks, labels = H.labelled_blocks(H.training_page(rng))
         if blocks:
-            right += int((net.label([H.features(blocks)])[0] == (labels > 0)).sum())
+            right += int((net.label([net.gates(H.features(blocks))])[0] == (labels > 0)).sum())
             total += len(labels)
     assert right >= 0.97 * total
 
 
 def test_article_of_recorded_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r["page_id"]: r["__text"] for r in H.extract(pages).collect()}
+    got = {r["row"]["page_id"]: r["text"] for r in H.extract(pages).collect()}
     for r in pages.collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         expected = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub("</?b>", "", inner))).split())
@@ -64,5 +64,5 @@ def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (3, "u", "<p>" + "long " * 50_000), (4, "u", "no markup at all")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as __x")
     got = H.extract(df).collect()
-    assert len(got) == 5 and all(r["__text"] == "" for r in got if r["page_id"] in (1, 2))
+    assert len(got) == 5 and all(r["text"] == "" for r in got if r["row"]["page_id"] in (1, 2))
     assert H.extract(df.limit(0)).count() == 0

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import SLICE_ROWS, give_back, small_batches
 from .html_blocks import Block, blocks_of
 
 PATH_DIMS = 224
@@ -35,6 +36,8 @@ HIDDEN = 16
 PAGES = 1600
 EPOCHS = 6
 SEED = 5
+#: Blocks that are labelled at once, and whose vectors are held at once.
+BLOCKS, STEP = 20_000, 2048
 
 
 @lru_cache(maxsize=50_000)
@@ -42,10 +45,12 @@ def _bucket(name: str, dims: int) -> int:
     return crc32(name.encode("utf-8", "surrogatepass")) % dims
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    x = np.zeros((len(blocks), DIMS), dtype=np.float32)
-    for i, b in enumerate(blocks):
-        row = x[i]
+def features(blocks: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Vectors of the page's blocks ``first`` to ``last`` (exclusive)."""
+    last = len(blocks) if last is None else min(last, len(blocks))
+    x = np.zeros((last - first, DIMS), dtype=np.float32)
+    for i in range(first, last):
+        b, row = blocks[i], x[i - first]
         for name in b.path:
             row[_bucket(name, PATH_DIMS)] = 1.0
         words = b.text.split()
@@ -76,26 +81,31 @@ class Labeller:
         self.p["o"] = rng.normal(0, 0.3, 2 * hidden).astype(np.float32)
         self.p["z"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        steps, batch, _ = x.shape
+    def _walk(self, d: str, pre: np.ndarray, mask: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """States of direction ``d`` from what the inputs add to the gates; ``tape`` gets what the gradients need."""
+        steps, batch, _ = pre.shape
         n = self.hidden
-        pre = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
         h = np.zeros((batch, n), dtype=np.float32)
         c = np.zeros((batch, n), dtype=np.float32)
         out = np.zeros((steps, batch, n), dtype=np.float32)
-        tape = []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = pre[t] + h @ self.p[f"U{d}"]
-            i, f, o = _sigmoid(a[:, :n]), _sigmoid(a[:, n : 2 * n]), _sigmoid(a[:, 2 * n : 3 * n])
+            gates = _sigmoid(a[:, : 3 * n])
+            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
             g = np.tanh(a[:, 3 * n :])
             m = mask[t][:, None]
             new_c = np.where(m, f * c + i * g, c)
             th = np.tanh(new_c)
             new_h = np.where(m, o * th, h)
-            tape.append((t, h, c, i, f, o, g, th, m))
+            if tape is not None:
+                tape.append((t, h, c, i, f, o, g, th, m))
             h, c = new_h, new_c
             out[t] = h
-        return out, tape
+        return out
+
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+        tape: list = []
+        return self._walk(d, x @ self.p[f"W{d}"] + self.p[f"c{d}"], mask, tape), tape
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run("f", x, mask)[0], self._run("b", x, mask)[0]], axis=2)
@@ -129,24 +139,31 @@ class Labeller:
             grads[f"c{d}"] = pre.sum(axis=(0, 1))
         return grads
 
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What the vectors of blocks add to the gates of both directions."""
+        return np.concatenate([x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"], axis=1)
+
     def label(self, pages: list[np.ndarray], batch: int = 128) -> list[np.ndarray]:
-        """Which blocks of each page are article."""
+        """Which blocks of each page (its ``gates``) are article."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+        n = self.hidden
         while order:
             longest = len(pages[order[-1]])
-            take = max(1, min(batch, 200_000 // longest, len(order)))
+            take = max(1, min(batch, 50_000 // longest, len(order)))
             some, order = order[-take:], order[:-take]
-            x, mask = padded([pages[i] for i in some])
-            scores = self.scores(x, mask)
+            pre, mask = padded([pages[i] for i in some])
+            score = np.zeros(mask.shape, dtype=np.float32)
+            for k, d in enumerate("fb"):
+                score += self._walk(d, pre[:, :, 4 * n * k : 4 * n * (k + 1)], mask) @ self.p["o"][n * k : n * (k + 1)]
             for b, i in enumerate(some):
-                out[i] = scores[: len(pages[i]), b] >= 0.5
+                out[i] = score[: len(pages[i]), b] + self.p["z"] >= 0
         return out
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
-    x = np.zeros((steps, len(pages), DIMS), dtype=np.float32)
+    x = np.zeros((steps, len(pages), pages[0].shape[1]), dtype=np.float32)
     mask = np.zeros((steps, len(pages)), dtype=bool)
     for b, p in enumerate(pages):
         x[: len(p), b], mask[: len(p), b] = p, True
@@ -309,26 +326,40 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Label
     return net
 
 
+def read_pages(net: Labeller, pages: list[str]) -> Iterator[tuple[str, int]]:
+    """(text, number of blocks) of each page. ``BLOCKS`` blocks or one page are labelled at once, and vectors are never held for more than ``STEP`` blocks."""
+    held: list[list[Block]] = []
+    inputs: list[np.ndarray] = []
+
+    def done() -> Iterator[tuple[str, int]]:
+        for blocks, ok in zip(held, net.label(inputs)):
+            yield " ".join(b.text for b, x in zip(blocks, ok) if x), len(blocks)
+        held.clear()
+        inputs.clear()
+
+    for page in pages:
+        blocks = blocks_of(page)
+        held.append(blocks)
+        parts = [net.gates(features(blocks, at, at + STEP)) for at in range(0, len(blocks), STEP)]
+        inputs.append(np.concatenate(parts) if parts else np.zeros((0, 8 * net.hidden), dtype=np.float32))
+        if sum(map(len, held)) >= BLOCKS:
+            yield from done()
+    yield from done()
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` without the html, with __text (the article) and __n_blocks added."""
+    """row (the columns of ``pages`` without the html as a struct), text (the article) and n_blocks. Python sees the html alone."""
     keep = [c for c in pages.columns if c != html_col]
     sent = pages.sparkSession.sparkContext.broadcast(trained())
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [blocks_of(h or "") for h in part.column(len(keep)).to_pylist()]
-                labels = net.label([features(b) for b in found])
-                texts = [" ".join(b.text for b, ok in zip(bs, ls) if ok) for bs, ls in zip(found, labels)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(list(map(len, found)), pa.int32())],
-                    [*keep, "__text", "__n_blocks"],
-                )
-
-    from pyspark.sql import types as T
-
-    fields = [pages.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("__text", T.StringType()), T.StructField("__n_blocks", T.IntegerType())])
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col)).mapInArrow(read, schema)
+        for column in columns:
+            found = [x for at in range(0, len(column), SLICE_ROWS) for x in read_pages(net, [h or "" for h in column.slice(at, SLICE_ROWS).to_pylist()])]
+            yield pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], ["text", "n_blocks"])
+        give_back()
+
+    small_batches(pages.sparkSession)
+    read = F.arrow_udf("text string, n_blocks int")(read)
+    found = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), read(F.col(f"`{html_col}`")).alias("x"))
+    return found.select("row", "x.text", "x.n_blocks")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import SLICE_ROWS, give_back, in_arrow, packed, small_batches
+
 DIMS = 1 << 13
 GRAMS = (1, 2, 3, 4)
 SAMPLE = 384
@@ -93,7 +95,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     seen: dict[str, dict[int, int]] = defaultdict(dict)
     for lang, z, n in usable.groupBy("lang", "zeros").count().collect():
         seen[lang][z] = n
-    chosen = F.lit(False)
+    rule = {}
     for lang, by in seen.items():
         least, total = 65, 0
         for z in sorted(by, reverse=True):
@@ -101,8 +103,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
             if total > sample:
                 break
             least = z
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("zeros") >= least))
-    return usable.filter(chosen).select("lang", "text")
+        rule[lang] = least
+    if not rule:
+        return usable.limit(0).select("lang", "text")
+    rules = docs.sparkSession.createDataFrame(sorted(rule.items()), "of string, least int")
+    return usable.join(rules, (F.col("lang") == F.col("of")) & (F.col("zeros") >= F.col("least"))).select("lang", "text")
 
 
 class Model:
@@ -195,36 +200,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ["lang", "at", "counts", "n"],
             )
 
-    got = rows.mapInArrow(vectors, "lang string, at binary, counts binary, n long").collect()
+    got = in_arrow(rows, vectors, "lang string, at binary, counts binary, n long").collect()
     samples = [(r[0], np.frombuffer(r[1], "<i2"), np.frombuffer(r[2], "<f4"), r[3]) for r in got]
     samples.sort(key=lambda s: (s[0], s[3], s[1].tobytes(), s[2].tobytes()))
     return Model(samples)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang, __score and __rejected added."""
+    """row (the columns of ``docs`` as a struct), lang, score and rejected of every row. Python sees the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.columns
+    kinds = (("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        at = cols.index(text_col)
-        for batch in batches:
-            found = [own.predict(t) for t in batch.column(at).to_pylist()]
-            more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*cols, "__lang", "__score", "__rejected"])
+        for all_texts in texts:
+            found = [own.predict(t) for at in range(0, len(all_texts), SLICE_ROWS) for t in all_texts.slice(at, SLICE_ROWS).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
+        give_back()
 
-    from pyspark.sql import types as T
-
-    added = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__rejected", T.BooleanType())]
-    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, *added]))
+    small_batches(docs.sparkSession)
+    label = F.arrow_udf("lang string, score double, rejected boolean")(label)
+    found = docs.select(packed(docs).alias("row"), label(F.col(f"`{text_col}`")).alias("p"))
+    return found.select("row", "p.lang", "p.score", "p.rejected")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row. Only the text counts in a prediction."""
     model = fit(docs, id_col, text_col, lang_col, sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    found = predict(rows, model, "text")
-    return found.select(
-        "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected")
-    )
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held_out"))
+    return predict(rows, model, "text").select("row.doc_id", "row.held_out", F.col("lang").alias("lang_pred"), "score", "rejected")

@@ -10,8 +10,11 @@ below the hash value at which the running sum of sizes reaches f, and a few
 further ones that fill what is then missing.
 
 Defined results: null text has no words; null and empty memberships are a
-pattern, and so a source, of their own; sizes of zero take nothing; repeated rows
-share their hash and are taken together; an empty table gives an empty result.
+pattern, and so a source, of their own; sizes of zero take nothing; the hash is that of id and
+text, so that null or repeated ids are drawn one by one, while rows that repeat both
+are taken together; an empty table gives an empty result. Columns may have any names.
+
+The driver holds one row for each pattern that occurs and each of ``BINS`` parts of its hash values.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed
+from .base import checkpointed, packed
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,7 +117,13 @@ def min_cost_flow(supply: dict, quota: dict, epochs: int = 2) -> dict:
     return {key: n for key, n in flow.items() if n}
 
 
-def _cuts(rows: DataFrame, wanted: dict[int, float]) -> tuple[dict[int, int], dict[int, float]]:
+def _in_patterns(rows: DataFrame, state: DataFrame, n: int, condition: Column) -> DataFrame:
+    """Rows of the patterns in ``state`` for which ``condition`` holds; it is part of the join, so that no other row comes out of it."""
+    state = state.withColumnRenamed("pattern", "of")
+    return rows.join(F.broadcast(state) if n <= MAX_BROADCAST else state, (F.col("pattern") == F.col("of")) & condition)
+
+
+def _cuts(rows: DataFrame, wanted: dict[str, float]) -> tuple[dict[str, int], dict[str, float]]:
     """For each pattern the largest hash value below which sizes sum up to no more than wanted, and what is missing.
 
     ``rows``: pattern, size, u (0 to 2^32 - 1). Each level looks at one bin of the
@@ -123,20 +132,15 @@ def _cuts(rows: DataFrame, wanted: dict[int, float]) -> tuple[dict[int, int], di
     spark = rows.sparkSession
     low, width = {p: 0 for p in wanted}, 1 << 32
     rest = dict(wanted)
-    cuts: dict[int, int] = {}
+    cuts: dict[str, int] = {}
     for level in range(LEVELS):
         if not low:
             break
         width //= BINS
-        at = spark.createDataFrame(sorted(low.items()), "pattern int, low long")
-        at = F.broadcast(at) if len(low) <= MAX_BROADCAST else at
+        at = spark.createDataFrame(sorted(low.items()), "pattern string, low long")
         bin_of = F.floor((F.col("u") - F.col("low")) / width).cast("int")
-        sums = (
-            rows.join(at, "pattern")
-            .filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width * BINS))
-            .groupBy("pattern", bin_of.alias("bin"))
-            .agg(F.sum("size").alias("size"))
-        )
+        inside = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width * BINS)
+        sums = _in_patterns(rows, at, len(low), inside).groupBy("pattern", bin_of.alias("bin")).agg(F.sum("size").alias("size"))
         of = defaultdict(dict)
         for p, b, n in sums.collect():
             of[p][b] = n
@@ -160,27 +164,22 @@ def _cuts(rows: DataFrame, wanted: dict[int, float]) -> tuple[dict[int, int], di
     return cuts, rest
 
 
-def _fills(rows: DataFrame, cuts: dict[int, int], missing: dict[int, float]) -> dict[int, list[int]]:
+def _fills(rows: DataFrame, cuts: dict[str, int], missing: dict[str, float]) -> dict[str, list[int]]:
     """For each pattern the hashes of a few rows beyond the cut that fill what is missing.
 
     First the largest rows that fit, at last the one that brings the sum nearest.
     """
-    fills: dict[int, list[int]] = {p: [] for p in cuts}
+    fills: dict[str, list[int]] = {p: [] for p in cuts}
     gap = dict(missing)
     for last in (False,) * (FILLS - 1) + (True,):
         state = [(p, cuts[p], float(gap[p]), fills[p]) for p in cuts if gap[p] >= 1]
         if not state:
             break
-        gaps = rows.sparkSession.createDataFrame(state, "pattern int, cut long, gap double, used array<long>")
-        gaps = F.broadcast(gaps) if len(state) <= MAX_BROADCAST else gaps
+        gaps = rows.sparkSession.createDataFrame(state, "pattern string, cut long, gap double, used array<long>")
         off = F.abs(F.col("size") - F.col("gap"))
         fits = (off < F.col("gap")) if last else (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        near = (
-            rows.join(gaps, "pattern")
-            .filter((F.col("u") >= F.col("cut")) & ~F.array_contains("used", F.col("u")) & fits)
-            .groupBy("pattern")
-            .agg(F.min(F.struct(off.alias("off"), "u", "size")).alias("x"))
-        )
+        fits = fits & (F.col("u") >= F.col("cut")) & ~F.array_contains("used", F.col("u"))
+        near = _in_patterns(rows, gaps, len(state), fits).groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "u", "size")).alias("x"))
         for p, x in near.collect():
             fills[p].append(x["u"])
             gap[p] -= x["size"]
@@ -197,24 +196,26 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with __size, __sources, __source_size, __target, __epochs added.
+    """row (the columns of ``docs`` as a struct), size, sources, source_size, target, epochs.
 
     ``members``: array of the sources of a row (a null element is a source, too).
-    ``__epochs``: how often the mix takes the row. ``__source_size`` and
-    ``__target`` add up the row's sources.
+    ``epochs``: how often the mix takes the row. ``source_size`` and ``target`` add up
+    the row's sources.
     """
     spark = docs.sparkSession
     clean = F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string")))))
     clean = F.when(F.size(clean) == 0, F.array(F.lit(None).cast("string"))).otherwise(clean)
+    text = F.col(f"`{text_col}`")
     keyed = docs.select(
-        "*",
-        clean.alias("__sources"),
-        n_words(F.col(text_col)).alias("__size"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 32)).alias("__u"),
-    )
-    narrow = checkpointed(keyed.select("__sources", F.col("__size").alias("size"), F.col("__u").alias("u")))
-    patterns = narrow.groupBy("__sources").agg(F.sum("size").alias("size")).collect()
-    supply = {tuple(r[0]): r[1] for r in patterns}
+        packed(docs).alias("row"),
+        clean.alias("sources"),
+        n_words(text).alias("size"),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.coalesce(text, F.lit("")), F.lit(seed)), F.lit(1 << 32)).alias("u"),
+    ).withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"}))
+    narrow = checkpointed(keyed.select("sources", "pattern", "size", "u"))
+    patterns = narrow.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
+    supply = {tuple(r["sources"]): r["size"] for r in patterns}
+    name = {tuple(r["sources"]): r["pattern"] for r in patterns}
     sizes: dict = defaultdict(int)
     for p, n in supply.items():
         for s in p:
@@ -223,9 +224,8 @@ def mix(
     # what overlapping patterns hold is shared out once
     quota = targets(dict(sizes), weight, share * sum(supply.values()) / max(1, sum(sizes.values())), most)
     flow = min_cost_flow(supply, {s: round(t) for s, t in quota.items()}, most)
-    number = {p: i for i, p in enumerate(sorted(supply, key=repr))}
     full, wanted = {}, {}
-    for p, i in number.items():
+    for p, i in name.items():
         full[p] = 0
         for k in range(most):
             n = sum(flow.get((p, s, k), 0) for s in p)
@@ -233,27 +233,15 @@ def mix(
                 full[p] += 1
             elif n > 0:
                 wanted[i] = wanted.get(i, 0) + n
-    schema = "__sources array<string>, pattern int, full int, source_size long, target double"
-    of = spark.createDataFrame(
-        [(list(p), i, full[p], sum(sizes[s] for s in p), float(sum(quota[s] for s in p))) for p, i in number.items()], schema
-    )
-    small = F.broadcast(of) if len(number) <= MAX_BROADCAST else of
     cuts, fills = {}, {}
     if wanted:
-        numbered = narrow.join(small.select("__sources", "pattern"), "__sources")
-        cuts, missing = _cuts(numbered, wanted)
-        fills = _fills(numbered, cuts, missing)
-    cut_schema = "__sources array<string>, __cut long, __fill array<long>"
-    cut = spark.createDataFrame([(list(p), cuts.get(i, 0), fills.get(i, [])) for p, i in number.items()], cut_schema)
-    small = of.join(cut, "__sources")
-    small = F.broadcast(small) if len(number) <= MAX_BROADCAST else small
-    return keyed.join(small, "__sources").select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "__size",
-        "__sources",
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
-        F.when(F.col("__size") == 0, 0).otherwise(
-            F.col("full") + ((F.col("__u") < F.col("__cut")) | F.array_contains("__fill", F.col("__u"))).cast("int")
-        ).alias("__epochs"),
+        cuts, missing = _cuts(narrow.select("pattern", "size", "u"), wanted)
+        fills = _fills(narrow.select("pattern", "size", "u"), cuts, missing)
+    schema = "pattern string, full int, source_size long, target double, cut long, fill array<long>"
+    small = spark.createDataFrame(
+        [(i, full[p], sum(sizes[s] for s in p), float(sum(quota[s] for s in p)), cuts.get(i, 0), fills.get(i, [])) for p, i in name.items()], schema
     )
+    small = F.broadcast(small) if len(name) <= MAX_BROADCAST else small
+    extra = ((F.col("u") < F.col("cut")) | F.array_contains("fill", F.col("u"))).cast("int")
+    epochs = F.when(F.col("size") == 0, 0).otherwise(F.col("full") + extra)
+    return keyed.join(small, "pattern").select("row", "size", "sources", "source_size", "target", epochs.alias("epochs"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import in_arrow
 from .wordbpe import word_bpe
 
 MAX_LENGTH = 2048
@@ -52,24 +53,22 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_bpe(vocabulary)
         encode = encoder.encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                cols: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    n = len(ids) + 1
-                    raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                    start = 0
-                    for length in piece_lengths(n, max_length):
-                        for col, value in zip(cols, (doc, start, length, raw[4 * start : 4 * (start + length)], n)):
-                            col.append(value)
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        for part in batches:
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            cols: list[list] = [[], [], [], [], []]
+            for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
+                n = len(ids) + 1
+                raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+                start = 0
+                for length in piece_lengths(n, max_length):
+                    for col, value in zip(cols, (doc, start, length, raw[4 * start : 4 * (start + length)], n)):
+                        col.append(value)
+                    start += length
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
         encoder.forget()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    packed = in_arrow(rows, pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")
     return packed.withColumns(
         {
             "sequence_id": F.monotonically_increasing_id(),

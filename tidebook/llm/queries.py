@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from .base import table
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return read.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+    return read.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +42,7 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.array("source"))
-    return mixed.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__epochs") * F.col("__size")).cast("long").alias("taken"),
-    )
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +51,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
+    import public_tokenizers  # where it is missing, the other queries work
+
     packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .base import attach_groups, checkpointed, text_or_empty
+from .base import attach_groups, checkpointed, in_arrow, text_or_empty
 
 #: Raise it with any change of the rules: all blobs are scanned anew.
 RULE_VERSION = 1
@@ -108,8 +108,8 @@ def scan(
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    scanned = checkpointed(blobs.select("blob", "paths", "text").mapInArrow(
-        _scan, "blob binary, paths long, spans array<struct<kind: string, start: long, end: long>>"
+    scanned = checkpointed(in_arrow(
+        blobs.select("blob", "paths", "text"), _scan, "blob binary, paths long, spans array<struct<kind: string, start: long, end: long>>"
     ))
     every = scanned
     if known is not None:

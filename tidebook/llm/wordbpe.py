@@ -25,7 +25,7 @@ END = "</w>"
 #: Texts with these are encoded whole by ``tokenizers``.
 WHOLE = re.compile("[\x00\x1c-\x1f\x85Σ]|<\\|(?:startoftext|endoftext)\\|>")
 RARE = re.compile("[^\x01-ɏ]")
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 100_000
 #: Characters that are handled at once.
 BATCH_CHARS = 400_000
 
@@ -75,7 +75,11 @@ class WordBpe:
         return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
-        """Empty the table of chunks; a worker that waits for other tasks needn't hold it."""
+        """Empty the table of chunks and let the library's tokenizer go; a worker that waits for other tasks needn't hold them."""
+        self.__dict__.pop("whole", None)
+        self._clear()
+
+    def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.start = np.zeros(1024, dtype=np.int64)
         self.count = np.zeros(1024, dtype=np.int64)
@@ -128,7 +132,7 @@ class WordBpe:
 
     def _encode(self, texts: list[str], some: list[int], out: list[np.ndarray]) -> None:
         if len(self.at) > MAX_CHUNKS:
-            self.forget()
+            self._clear()
         chunks = [unicodedata.normalize("NFC", texts[i]).lower().split() for i in some]
         flat = [c for cs in chunks for c in cs]
         if new := set(flat).difference(self.at):

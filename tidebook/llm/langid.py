@@ -107,7 +107,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     if not rule:
         return usable.limit(0).select("lang", "text")
     rules = docs.sparkSession.createDataFrame(sorted(rule.items()), "of string, least int")
-    return usable.join(rules, (F.col("lang") == F.col("of")) & (F.col("zeros") >= F.col("least"))).select("lang", "text")
+    # one row per language, of which the model holds centroids
+    return usable.join(F.broadcast(rules), (F.col("lang") == F.col("of")) & (F.col("zeros") >= F.col("least"))).select("lang", "text")
 
 
 class Model:

@@ -329,10 +329,29 @@ def test_banded_alignment_equals_plain_edit_distance():
             assert near_dedup.edits_within(a, b, most) == (d[-1] if d[-1] <= most else None)
             if min(len(a), len(b)) > 1:
                 assert near_dedup.anchored_edits(a, b, most) >= d[-1]
+            assert near_dedup.split_edits(a, b) >= d[-1]
         longer = max(len(a), len(b))
         assert near_dedup.similar(a, b) == (d[-1] <= int(0.2 * longer + 1e-9))
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((40, 30), (60, 80), (200, 150)):
+        links = [tuple(map(int, rng.integers(0, n, 2))) for _ in range(m)]
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+        assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(300, 300 + i) for i in (1, 2)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
@@ -342,6 +361,15 @@ def test_components(spark):
 # --- line dedup ---
 
 
+def within_one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
 def test_line_dedup_matches_brute_force(spark, odd, empty):
     import random
 
@@ -357,7 +385,8 @@ def test_line_dedup_matches_brute_force(spark, odd, empty):
                 x = r.choice([x[:i] + "z" + x[i:], x[:i] + x[i + 1 :], x[:i] + "y" + x[i + 1 :]])
             lines.append(x)
         docs.append((d, "\n".join(lines)))
-    docs += [(500, None), (501, ""), (502, "\n\n  \nshort\nshort")]
+    long = "".join(r.choice("abcdef ") for _ in range(5000))
+    docs += [(500, None), (501, ""), (502, "\n\n  \nshort\nshort"), (503, f"{long}\n{long[:4000]}é{long[4000:]}\n{long[:77]}ü{long[78:]}\n{long[:77]}üü{long[79:]}")]
     got = {x["doc_id"]: x["dropped"] for x in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     every = [(d, i, x.strip()) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip()]
     names = sorted({x for _, _, x in every})
@@ -370,7 +399,7 @@ def test_line_dedup_matches_brute_force(spark, odd, empty):
 
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            if min(len(a), len(b)) >= line_dedup.MIN_CHARS and line_dedup.within_one_edit(a, b):
+            if min(len(a), len(b)) >= line_dedup.MIN_CHARS and within_one_edit(a, b):
                 root[find(a)] = find(b)
     first = {}
     for d, i, x in sorted(every):
@@ -383,3 +412,35 @@ def test_line_dedup_matches_brute_force(spark, odd, empty):
     assert line_dedup.dropped_lines(odd).count() == odd.select("doc_id").distinct().count()
     assert line_dedup.dedup_lines(odd).columns == odd.columns
     assert line_dedup.dropped_lines(empty).count() == 0
+
+
+def test_line_dedup_ties_lines_to_texts_and_skips_blank_ones(spark):
+    docs = spark.createDataFrame(
+        [(1, "shared first line here\nkeep A line"), (1, "totally different unique line\nkeep B other"), (2, "shared first line here\r\n\t\r\n\r\nx"), (None, "shared first line here"), (None, None)],
+        "doc_id long, text string",
+    ).selectExpr("*", "1 as h", "2 as no", "3 as node", "'x' as row", "4 as id", "5 as dropped", "6 as of")
+    got = {(r["doc_id"], r["n_lines"], tuple(r["dropped"])) for r in line_dedup.dropped_lines(docs).collect()}
+    assert got == {(1, 2, ()), (2, 2, (0,)), (None, 1, (0,)), (None, 0, ())}
+    left = line_dedup.dedup_lines(docs)
+    assert left.columns == docs.columns and left.filter("node <> 3 or row <> 'x'").count() == 0
+    assert sorted("-" if r["text"] is None else r["text"] for r in left.collect()) == sorted(["shared first line here\nkeep A line", "totally different unique line\nkeep B other", "\t\r\n\r\nx", "", "-"])
+
+
+def test_line_variants_grow_in_proportion(spark):
+    """A template with one word replaced: few variants a line, and no more when there are four times as many."""
+
+    def a_line(n):
+        head, tail = "the quick brown fox jumps over some lazy dog and " * 3, " then it goes on to run through the old dark forest" * 3
+        docs = [(i, f"{head}{chr(97 + i % 26)}w{i * 7919 % 100_003:06d}{tail}") for i in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        seen = []
+        variants = line_dedup._variants
+        try:
+            line_dedup._variants = lambda leaves, texts: seen.append(variants(leaves, texts)) or seen[-1]
+            line_dedup.dropped_lines(df).count()
+        finally:
+            line_dedup._variants = variants
+        return seen[0].count() / n
+
+    few, many = a_line(200), a_line(800)
+    assert few < 60 and many < 60

@@ -1,260 +1,180 @@
-"""Line dedup by a deletion-neighbourhood join.
-
-Lines (split at line feeds, trimmed) within one character edit of each other are one
-class, as are equal ones; the earliest line of a class, by doc_id and line number,
-stays. Two texts are within one edit if and only if they give an equal variant:
-after deleting the character at the same place from both (a substitution), or
-from the longer one alone (an insertion). Each line emits the hashes of its
-variants, equal ones are joined, and every pair is verified on the texts.
-
-All variants of all lines would be hundreds of times the input, so a lossless first
-step leaves out most of them: cut at quarters of the shorter length, two lines within one edit
-agree outside one quarter. So a line emits variants of a quarter only if what is
-outside it (with length and place) occurs in another line, too. The set of such shared
-outsides is kept as a bitmap of bounded size; its rare false hits only cost work.
+"""Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
+
+Lines (split at line feeds, trimmed of ``[\\x20\\x09-\\x0D]``) within one character edit of each
+other are one class, as are equal ones; the earliest line of a class, by doc_id, text and
+line number, stays. Two texts are within one edit if and only if they give an equal variant:
+after deleting the character at the same place from both (a substitution), or from the longer
+one alone (an insertion). Each line emits the hashes of its variants, equal ones are
+joined, and every pair is verified on the texts.
+
+All variants of all lines would be hundreds of times the input, so lossless steps before leave
+out most of them. The one edit of a pair lies within a half of the shorter line, and what is
+outside that half is equal. So a line goes on with a half only if another line has the same outside
+(with length and place). Halves are cut into ``PIECES``, and pieces again, in the same way, until
+they have ``LEAF`` characters at most; only for such pieces variants are emitted, two dozen
+for a line that has a neighbour and few for any other, however long the lines are and however many
+share a template.
+
+A line takes part in two roles: with a partner of its own length or a longer one (its frame is
+its length), and as the longer one (its frame is one less).
 
 Same-place variants form groups in which lines differ in one character, so a group is
-never larger than the alphabet. Equal lines are reduced to one before any join.
+never larger than the alphabet, and groups of an insertion have the shorter line as their centre: links
+are stars. Equal lines are reduced to one before any join.
 
-Defined results: null text has no lines; blank lines always stay and aren't counted;
-lines under ``MIN_CHARS`` are compared for equality only; rows that repeat an id count as
-one document; null ids come last; an empty table gives an empty result.
+Defined results: null text has no lines; blank lines always stay and aren't counted; lines
+under ``MIN_CHARS`` are compared for equality only; rows that repeat both id and text count as one
+document, rows that repeat an id alone as several; null ids come last; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import attach_groups, checkpointed, text_or_empty
+from . import bloom
+from .base import attach_groups, checkpointed, packed, text_or_empty, tidy, unpacked
 from .graph import components
 
 MIN_CHARS = 12
-PIECES = 4
-#: Bits of a set of hashes: 2^20 to 2^30, 32 or more for each member if that many do, and probes of each.
-MIN_BITS, MAX_BITS, PROBES = 20, 30, 3
-_U = np.uint64
-_BASE = _U(0x100000001B3)
-_INV = _U(pow(0x100000001B3, -1, 1 << 64))
-
-
-def bounds(n: int) -> list[int]:
-    return [i * n // PIECES for i in range(PIECES + 1)]
+PIECES, LEAF = 8, 12
+#: Fixed value: what is trimmed from a line.
+BLANK = " \t\x0b\x0c\r\n"
+NOT_BLANK_LINE = r"[^\x20\x09-\x0D][^\n]*"
 
 
-def outsides(line: str) -> list[int]:
-    """Keys of what is outside each piece, as signed 64-bit numbers.
+def _outside(x: Column, role: Column, frame: Column, start: Column, end: Column) -> Column:
+    """Hash of what a line has outside the piece ``start`` to ``end`` of its frame, comparable between roles."""
+    return F.xxhash64(F.substr(x, F.lit(1), start), F.substr(x, end + role + 1), frame, start, end)
 
-    First with the line as the shorter of a pair (or as long as its partner), then as the longer one.
-    """
-    import xxhash
 
-    size = len(line)
-    out = []
-    for n in (size, size - 1):
-        cut = bounds(n)
-        for i in range(PIECES):
-            part = line[: cut[i]] + "\n" + line[size - (n - cut[i + 1]) :]
-            h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=PIECES * n + i)
-            out.append(h - (1 << 64) if h >> 63 else h)
-    return out
-
-
-def line_id(line: str) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, dtype=np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-def variants(line: str) -> tuple[int, np.ndarray]:
-    """(hash of the line, hashes of the line without its i-th character), comparable with each other."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + _U(1)
-    sums = np.concatenate([[_U(0)], np.cumsum(c * _powers(len(c)), dtype=np.uint64)])
-    return int(sums[-1].astype(np.int64)), (sums[:-1] + (sums[-1] - sums[1:]) * _INV).astype(np.int64)
-
-
-def within_one_edit(a: str, b: str) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
-
-
-def lines_of(text: str) -> list[str]:
-    return [x.strip() for x in text.split("\n")]
-
-
-class Bits:
-    """A set of 64-bit hashes as a Bloom filter."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.words = np.zeros(1 << (bits - 3), dtype=np.uint8)
-
-    @staticmethod
-    def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
-        u = h.astype(np.uint64)
-        odd = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
-        return [((u ^ (u >> _U(29))) * c) >> _U(64 - bits) for c in odd[:PROBES]]
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        hit = np.ones(h.shape, dtype=bool)
-        for at in self.slots(h, self.bits):
-            hit &= (self.words[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
-        return hit
-
-    @classmethod
-    def of(cls, keys: DataFrame, col: str, n: int) -> Bits:
-        """Built from 4 KB pieces, so that the driver gets no more than the bitmap."""
-        bits = max(MIN_BITS, min(MAX_BITS, (32 * n).bit_length()))
-        own = cls(bits)
-
-        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.concatenate(cls.slots(np.asarray(batch.column(0)), bits)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["piece", "pos"])
-
-        pieces = keys.select(col).mapInArrow(slots, "piece long, pos long").repartition("piece")
-        for piece, raw in pieces.groupBy("piece").agg(F.bitmap_construct_agg("pos").alias("raw")).toLocalIterator():
-            own.words[piece << 12 : (piece + 1) << 12] = np.frombuffer(bytes(raw), dtype=np.uint8)
-        return own
-
-
-def _outside_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            lines = {x for t in batch.slice(at, 512).column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS}
-            keys, owners = [], []
-            for x in lines:
-                own = outsides(x)
-                keys += own
-                owners += [int.from_bytes(line_id(x)[:8], "little", signed=True)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], ["key", "owner"])
-
-
-def _variants(batches: Iterator[pa.RecordBatch], longer: bool) -> Iterator[pa.RecordBatch]:
-    """Variants of the pieces that ``mask`` names: as an equally long partner, or as the longer one."""
-    for batch in batches:
-        hv, pos, nodes, size = [], [], [], 0
-        for node, line, mask in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            mask = mask >> PIECES if longer else mask & ((1 << PIECES) - 1)
-            if not mask:
-                continue
-            own = variants(line)[1]
-            cut = bounds(len(line) - longer)
-            at = np.unique(np.concatenate([np.arange(cut[i], cut[i + 1] + longer) for i in range(PIECES) if mask >> i & 1]))
-            hv.append(own[at])
-            pos.append(at.astype(np.int32))
-            nodes += [node] * len(at)
-            size += len(at)
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hv)), pa.array(np.concatenate(pos)), pa.array(nodes, pa.binary())], ["hv", "pos", "node"])
-                hv, pos, nodes, size = [], [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hv)), pa.array(np.concatenate(pos)), pa.array(nodes, pa.binary())], ["hv", "pos", "node"])
-
-
-def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _variants(batches, False)
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = [within_one_edit(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-
-def _links(texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes within one edit that join all such nodes; ``texts``: node, line, mask."""
-    rows = texts.select("node", "line", "mask").mapInArrow(_replaced, "hv long, pos int, node binary")
-    least, most = F.min("node"), F.max("node")
-    same = rows.groupBy("hv", "pos").agg(least.alias("a"), most.alias("b"), F.count("*").alias("n")).filter("n >= 2")
-    same = checkpointed(same)
-    pairs = same.select("a", "b")
-    many = same.filter("n >= 3").select("hv", "pos", F.col("a").alias("first"))
-    if not many.isEmpty():  # the members between the least and the greatest
-        pairs = pairs.union(rows.join(many, ["hv", "pos"]).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([variants(x)[0] for x in batch.column(1).to_pylist()], pa.int64())], ["node", "hv"]
-            )
-
-    wholes = checkpointed(texts.select("node", "line").mapInArrow(whole, "node binary, hv long"))
-    known = texts.sparkSession.sparkContext.broadcast(Bits.of(wholes, "hv", wholes.count()))
-
-    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _variants(batches, True):
-            hit = known.value.has(np.asarray(batch.column(0)))
-            if hit.any():
-                yield batch.filter(pa.array(hit)).select([0, 2])
-
-    inserted = texts.select("node", "line", "mask").mapInArrow(shorter, "hv long, node binary").distinct()
-    inserted = inserted.join(wholes.select("hv", F.col("node").alias("a")), "hv").select("a", F.col("node").alias("b"))
-    pairs = pairs.union(inserted).distinct()
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b"
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h (hash of the text), no, x of all lines that aren't blank."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return rows.select("id", "h", "no", F.btrim("raw", F.lit(BLANK)).alias("x")).filter("x <> ''")
+
+
+def _node(x: Column) -> Column:
+    return F.unhex(F.md5(x))
+
+
+def _half(frame: Column) -> Column:
+    return F.shiftright(frame, 1)
+
+
+def _shared(keys: DataFrame, owner: str) -> DataFrame:
+    """key, n of the keys that different owners have, one of them in the role of the shorter line; ``keys``: key, role, owner."""
+    ends = keys.groupBy("key").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"), F.min("role").alias("first"), F.count("*").alias("n"))
+    return checkpointed(ends.filter("lo <> hi and first = 0").select("key", "n"))
+
+
+def _first_spans(places: DataFrame) -> DataFrame:
+    """(node, role, piece): halves whose outside another line has, too."""
+    keys = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i // 2).alias("role"), F.lit(i % 2).alias("piece")) for i in range(4)])
+    every = places.filter("k0 is not null").select("node", "owner", F.explode(keys).alias("k")).select("node", "owner", "k.*")
+    shared = _shared(every.select("key", "role", "owner"), "owner")
+    n = shared.count()
+    blocks = bloom.n_blocks(n)
+    some = bloom.with_maybe_member(every, "key", blocks, bloom.member_filter(shared, "key", blocks), "hit").filter("hit")
+    some = some.groupBy("node", "key", "role", "piece").agg(F.count("*").alias("copies"))
+    return checkpointed(some.join(shared, "key").select("node", "role", "piece").distinct())
+
+
+def _narrowed(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """``spans`` (node, role, start, end) cut into pieces until these are leaves; only what another line shares goes on."""
+    leaves = []
+    while True:
+        leaves.append(spans.filter(F.col("end") - F.col("start") <= LEAF))
+        spans = checkpointed(spans.filter(F.col("end") - F.col("start") > LEAF))
+        if spans.isEmpty():
+            return checkpointed(reduce(DataFrame.union, leaves).distinct())
+        size = F.col("end") - F.col("start")
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.lit(PIECES - 1)),
+            lambda i: F.struct(
+                (F.col("start") + F.floor(size * i / PIECES)).cast("int").alias("s"), (F.col("start") + F.floor(size * (i + 1) / PIECES)).cast("int").alias("e")
+            ),
+        )
+        cut = spans.join(texts, "node").select("node", "x", "role", F.explode(pieces).alias("p")).select("node", "x", "role", "p.s", "p.e")
+        frame = F.char_length("x") - F.col("role")
+        cut = checkpointed(cut.select("node", "role", "s", "e", _outside(F.col("x"), F.col("role"), frame, F.col("s"), F.col("e")).alias("key")))
+        shared = _shared(cut.select("key", "role", "node"), "node")
+        spans = attach_groups(cut, shared, "key", "n", cut.count()).select("node", "role", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
+        tidy(texts.sparkSession)
+
+
+def _variants(leaves: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, place, node, whole): hashes of a line without a character; the place counts in substitutions only (else -1)."""
+    x = F.col("x")
+
+    def without(i: Column) -> Column:
+        return F.xxhash64(F.substr(x, F.lit(1), i), F.substr(x, i + 2))
+
+    def cut(first: Column, last: Column, place: bool):
+        return F.transform(
+            F.sequence(first, last), lambda i: F.struct(without(i).alias("key"), (i if place else F.lit(-1)).cast("int").alias("place"), F.lit(False).alias("whole"))
+        )
+
+    # a whole line is hashed as the two parts that it has before and after the place where a longer line has one more
+    same = F.when((F.col("role") == 0) & (F.col("end") > F.col("start")), cut(F.col("start"), F.col("end") - 1, True))
+    longer = F.when(F.col("role") == 1, cut(F.col("start"), F.col("end"), False))
+    at = F.transform(
+        F.sequence(F.col("start"), F.col("end")),
+        lambda i: F.struct(F.xxhash64(F.substr(x, F.lit(1), i), F.substr(x, i + 1)).alias("key"), F.lit(-1).alias("place"), F.lit(True).alias("whole")),
+    )
+    shorter = F.when(F.col("role") == 0, at)
+    none = F.array().cast("array<struct<key:bigint,place:int,whole:boolean>>")
+    all_of = F.concat(*[F.coalesce(v, none) for v in (same, longer, shorter)])
+    found = leaves.join(texts, "node").select("node", F.explode(all_of).alias("v")).select("v.*", "node")
+    return checkpointed(found.distinct())
+
+
+def _links(leaves: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes within one edit that join all such nodes."""
+    rows = _variants(leaves, texts)
+    groups = rows.groupBy("key", "place").agg(
+        F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.when(F.col("whole"), F.col("node"))).alias("shorter")
     )
-    return checkpointed(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary"))
+    groups = groups.filter("lo <> hi and (place >= 0 or shorter is not null)")
+    groups = checkpointed(groups.select(F.struct("key", "place").alias("g"), "n", F.when(F.col("place") >= 0, F.col("lo")).otherwise(F.col("shorter")).alias("a")))
+    pairs = attach_groups(rows.select(F.struct("key", "place").alias("g"), "node"), groups, "g", "n", rows.count())
+    pairs = pairs.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("x").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    return checkpointed(sides.filter(F.levenshtein("x", "y", 1) >= 0).select("a", "b"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document id: doc_id, n_lines, n_dropped, dropped (line numbers from 0, sorted)."""
-    text = text_or_empty(text_col)
-    owners = docs.select(text.alias("text")).mapInArrow(_outside_keys, "key long, owner long")
-    ends = owners.groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
-    shared = checkpointed(ends.filter("lo <> hi").select("key"))
-    bits = docs.sparkSession.sparkContext.broadcast(Bits.of(shared, "key", shared.count()))
-
-    def all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, numbers, nodes = [], [], []
-                for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for i, x in enumerate(lines_of(t)):
-                        if x:
-                            ids.append(doc)
-                            numbers.append(i)
-                            nodes.append(line_id(x))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes, pa.binary())], ["id", "no", "node"]
-                )
-
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                lines = sorted({x for t in batch.slice(at, 512).column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS})
-                hits = bits.value.has(np.array([outsides(x) for x in lines], dtype=np.int64).reshape(-1, 2 * PIECES))
-                masks = hits @ (1 << np.arange(2 * PIECES))
-                lines, masks = [x for x, m in zip(lines, masks) if m], masks[masks > 0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([line_id(x) for x in lines], pa.binary()), pa.array(lines, pa.string()), pa.array(masks, pa.int32())],
-                    ["node", "line", "mask"],
-                )
-
-    texts = docs.select(text.alias("text")).mapInArrow(partnered, "node binary, line string, mask int")
-    texts = checkpointed(texts.groupBy("node").agg(F.first("line").alias("line"), F.first("mask").alias("mask")))
-    labels = components(_links(texts))
-    places = checkpointed(
-        docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-        .mapInArrow(all_lines, "id long, no int, node binary")
-    )
+    """One row per document (id and text): doc_id, h (xxhash64 of the text), n_lines, n_dropped, dropped (line numbers from 0, sorted)."""
+    x, size = F.col("x"), F.char_length("x")
+    keys = {}
+    for role in (0, 1):
+        frame = size - role
+        for piece, (s, e) in enumerate(((F.lit(0), _half(frame)), (_half(frame), frame))):
+            keys[f"k{2 * role + piece}"] = F.when(size >= MIN_CHARS, _outside(x, F.lit(role), frame, s, e))
+    lines = _lines(docs, id_col, text_col)
+    places = checkpointed(lines.select("id", "h", "no", _node(x).alias("node"), F.xxhash64("x").alias("owner"), *[c.alias(k) for k, c in keys.items()]))
     n_places = places.count()
-    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "no"))
+    spans = _first_spans(places)
+    wanted = checkpointed(spans.select("node").distinct())
+    blocks = bloom.n_blocks(wanted.count())
+    item = F.xxhash64("node")
+    some = lines.select(_node(x).alias("node"), "x").withColumn("item", item)
+    some = bloom.with_maybe_member(some, "item", blocks, bloom.member_filter(wanted.select(item.alias("item")), "item", blocks), "hit").filter("hit")
+    texts = checkpointed(some.groupBy("node").agg(F.first("x").alias("x")).join(wanted, "node"))
+    tidy(docs.sparkSession)
+    frame = F.char_length("x") - F.col("role")
+    spans = spans.join(texts, "node").select(
+        "node", "role", F.when(F.col("piece") == 0, 0).otherwise(_half(frame)).cast("int").alias("start"),
+        F.when(F.col("piece") == 0, _half(frame)).otherwise(frame).cast("int").alias("end"),
+    )
+    labels = components(_links(_narrowed(spans, texts), texts))
+    tidy(docs.sparkSession)
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h", "no"))
     groups = places.groupBy("node").agg(F.count("*").alias("n"), first.alias("first"))
     groups = groups.join(labels, "node", "left").filter("n > 1 or label is not null").select(
         "node", "n", "first", F.coalesce("label", "node").alias("label")
@@ -262,18 +182,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = checkpointed(groups)
     of_class = groups.groupBy("label").agg(F.min("first").alias("stays"))
     stays = checkpointed(groups.join(of_class, "label").select("node", "n", "stays"))
-    late = attach_groups(places, stays, "node", "n", n_places).filter(
-        ~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("no") == F.col("stays.no")))
-    )
-    gone = late.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
-    counted = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
+    late = attach_groups(places.select("id", "h", "no", "node"), stays, "node", "n", n_places).filter(
+        ~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("h") == F.col("stays.h")) & (F.col("no") == F.col("stays.no")))
     )
-    counted = counted.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
+    gone = late.groupBy(F.col("id").alias("of"), F.col("h").alias("oh")).agg(F.array_sort(F.collect_set("no")).alias("dropped"))
+    text = text_or_empty(text_col)
+    counted = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.regexp_count(text, F.lit(NOT_BLANK_LINE)).cast("long").alias("n_lines"))
+    counted = counted.groupBy("doc_id", "h").agg(F.max("n_lines").alias("n_lines"))
     empty = F.array().cast("array<int>")
-    return counted.join(gone, counted["doc_id"].eqNullSafe(gone["id"]), "left").select(
+    return counted.join(gone, counted["doc_id"].eqNullSafe(gone["of"]) & (counted["h"] == gone["oh"]), "left").select(
         "doc_id",
+        "h",
         "n_lines",
         F.size(F.coalesce("dropped", empty)).cast("long").alias("n_dropped"),
         F.coalesce("dropped", empty).alias("dropped"),
@@ -282,16 +201,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text."""
-    gone = dropped_lines(docs, id_col, text_col).filter("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__gone"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(
-        F.transform(
-            F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda r: ~F.array_contains("__gone", r["i"])),
-            lambda r: r["x"],
-        ),
-        "\n",
-    )
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    cols = docs.columns
+    gone = dropped_lines(docs, id_col, text_col).filter("n_dropped > 0").select(F.col("doc_id").alias("of"), F.col("h").alias("oh"), "dropped")
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")), "left")
+    lines = F.transform(F.split(F.col(f"row.`{text_col}`"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    kept = F.array_join(F.transform(F.filter(lines, lambda r: ~F.array_contains("dropped", r["i"])), lambda r: r["x"]), "\n")
+    new = F.when(F.col("dropped").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == text_col else part for c, part in zip(cols, unpacked(cols))])

@@ -17,7 +17,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents")).drop("h")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

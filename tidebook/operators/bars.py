@@ -44,6 +44,15 @@ def summary(bars: DataFrame, time: str = "day") -> DataFrame:
     )
 
 
+def rolling_volatility(bars: DataFrame, bars_back: int, per_year: float, by: Sequence[str] = (), time: str = "day") -> DataFrame:
+    """Sample deviation of the last ``bars_back`` returns, a year's, in percent; null while there are fewer."""
+    order = Window.partitionBy(*by).orderBy(time)
+    back = order.rowsBetween(-(bars_back - 1), 0)
+    rows = bars.withColumn("ret", F.col("close") / F.lag("close").over(order) - 1)
+    vol = F.when(F.count("ret").over(back) == bars_back, F.stddev_samp("ret").over(back)) * (per_year**0.5 * 100)
+    return rows.withColumn("vol_pct", vol)
+
+
 def _signal(run: Run, order: Window) -> tuple[Column, Column]:
     """(1 buy, -1 sell, 0 hold; strength) before the position is looked at."""
     close, no = F.col("close"), F.row_number().over(order)
@@ -231,7 +240,7 @@ def stitched(equity: DataFrame, cash: float = 100_000.0, time: str = "day") -> D
     """One compounded curve of the windows' curves: each is scaled by what all earlier ones made."""
     ends = equity.groupBy("window").agg((F.max_by("equity", time) / cash).alias("r"))
     before = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # one row per window
-    scale = ends.select("window", F.exp(F.coalesce(F.sum(F.ln("r")).over(before), F.lit(0.0))).alias("scale"))
+    scale = ends.select("window", F.coalesce(F.product("r").over(before), F.lit(1.0)).alias("scale"))
     return equity.join(F.broadcast(scale), "window").withColumn("stitched", F.col("equity") * F.col("scale"))
 
 

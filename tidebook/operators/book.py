@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof
+
 SEGMENT = ("session_id", "segment_id")
 
 
@@ -102,12 +104,12 @@ def depth_counts(probes: DataFrame, updates: DataFrame, by: Sequence[str] = SEGM
 
 
 def qty_at(probes: DataFrame, updates: DataFrame, by: Sequence[str] = SEGMENT) -> DataFrame:
-    """Displayed quantity at each probe's (side, price), 0 if there is none: an equi-join and a range on one level's lifetimes."""
-    l = lifetimes(updates, by).withColumnRenamed("qty", "__qty")
+    """Displayed quantity at each probe's (side, price), 0 if there is none: an as-of join on that level's updates."""
+    rank = F.struct("seq", F.col("pos")) if "pos" in updates.columns else F.col("seq")
     keys = [*by, "side", "price"]
-    seen = probes.join(l, keys, "left")
-    live = (F.col("from_seq") <= F.col("seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
-    return seen.groupBy(*probes.columns).agg(F.coalesce(F.sum(F.when(live, F.col("__qty"))), F.lit(0).cast("long")).alias("book_qty"))
+    last = updates.groupBy(*keys, "seq").agg(F.max_by("qty", rank).alias("qty")) if "pos" in updates.columns else updates.select(*keys, "seq", "qty")
+    found = asof(probes, last, keys, ["qty"], at="seq", quote_time="seq", prefix="__at_")
+    return found.withColumn("book_qty", F.coalesce(F.greatest("__at_qty", F.lit(0)), F.lit(0)).cast("long")).drop("__at_qty")
 
 
 def state_hash(probes: DataFrame, updates: DataFrame, last_id: str = "seq", by: Sequence[str] = SEGMENT) -> DataFrame:

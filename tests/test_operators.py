@@ -294,3 +294,28 @@ def test_queries_draw_as_often_as_the_reference(spark, monkeypatch, name, operat
     with pytest.raises(StopIteration):
         getattr(stats_q, name)(spark, "/root/testdata/sf0.001")
     assert drawn == [10_000]
+
+
+def test_snapshot_timing(spark):
+    from tidebook.operators.integrity import snapshot_timing
+
+    rows = [
+        (1, 1, 100, 90, "snapshot", None, None, 10),
+        (1, 2, 95, None, "diff", 94, 8, 10),  # covered, but the first that was received after the request
+        (1, 3, 97, None, "diff", 96, 9, 12),  # bridges
+        (1, 4, 100, None, "diff", 99, 13, 14),  # received with the response: the boundary
+        (1, 5, 200, None, "diff", 199, 99, 99),  # not looked at any more
+        (1, 6, 300, None, "snapshot", None, None, 50),
+        (1, 7, 300, None, "diff", 299, 51, 52),  # not after the receipt
+        (1, 8, 301, None, "diff", 301, 54, 55),  # breaks
+        (1, 9, 400, None, "snapshot", None, None, 60),
+        (2, 1, 10, None, "diff", 9, 1, 2),
+    ]
+    schema = "k int, seq int, recv_ms int, request_ms int, event_type string, time_ms int, first_update_id int, last_update_id int"
+    got = [tuple(r) for r in snapshot_timing(spark.createDataFrame(rows, schema), ("k",)).orderBy("seq").collect()]
+    assert got == [
+        (1, 1, False, 90, 5, 96, 6, 97, True, 99, 100, 9, True, 2),
+        (1, 6, True, 300, 1, 299, -1, 300, False, None, None, None, False, 1),
+        (1, 9, True, 400, None, None, None, None, False, None, None, None, False, 0),
+    ]
+    assert snapshot_timing(spark.createDataFrame([], schema), ("k",)).count() == 0

@@ -12,7 +12,7 @@ from ..operators import gates as G
 from ..operators import integrity as I
 from ..operators import streams as S
 from ..registry import query
-from .streams_q import HOUR, _events
+from .streams_q import HOUR, _depth, _events
 
 #: Snapshots every 97th event, of which some cover the next two diffs and some lag behind; every 1013th row can't be decoded.
 RECORDS = f"""
@@ -75,6 +75,24 @@ def b17_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejections(spark, sf_dir).select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_hours"))
 
 
+@query("""with r as (select seq, seq % 97 = 0 as snap, time_ms as recv_ms, case when seq % 97 = 0 and seq % 2 = 0 then time_ms - 5 end as request_ms, case when seq % 97 <> 0 then time_ms end as time_ms,
+        first_update_id - case when seq % 97 = 1 then 10 else 0 end as f, last_update_id + case when seq % 97 = 0 then 20 else 0 end as l from diffs),
+g as (select *, sum(snap::int) over (order by seq) as seg from r),
+h as (select seg, seq as snap_seq, l as id, recv_ms as cutoff, coalesce(request_ms, recv_ms) as tag, request_ms is null as legacy from g where snap),
+d as (select h.*, g.seq, g.recv_ms, g.time_ms, f, l, l > id as kept from g join h using (seg) where not snap),
+k as (select *, lag(l) over (partition by seg order by seq) as prev from d where kept),
+k2 as (select *, case when prev is null then f <= id + 1 and id + 1 <= l else f = prev + 1 end as linked from k),
+e as (select seg, min(seq) filter (not linked) as broke, min(seq) filter (linked and case when legacy then recv_ms > cutoff else recv_ms >= cutoff end) as bound from k2 group by 1),
+z as (select h.*, broke is not null and (bound is null or broke < bound) as broken, bound is not null and (broke is null or bound < broke) as done, least(broke, bound) as stop from h left join e using (seg)),
+a as (select seg, arg_min(d.recv_ms, d.seq) filter (d.recv_ms > d.tag) as first_recv from d join z using (seg) where z.stop is null or d.seq <= z.stop group by 1),
+b as (select seg, arg_min(k2.time_ms, k2.seq) as bms, arg_min(k2.recv_ms, k2.seq) as brecv, count(*) as n, arg_max(k2.time_ms, k2.seq) as pms, arg_max(k2.recv_ms, k2.seq) as precv from k2 join z using (seg) where z.stop is null or k2.seq <= z.stop group by 1)
+select snap_seq as seq, legacy as legacy_tag, tag as tag_ms, first_recv - tag as first_delay_ms, bms as bridge_ms, bms - tag as bridge_delay_ms, brecv as bridge_recv_ms, n is not null and not broken as bridge_valid,
+case when done then pms end as boundary_ms, case when done then precv end as boundary_recv_ms, case when done then pms - tag end as boundary_delay_ms, done as boundary_valid,
+(coalesce(n, 0) - broken::int)::bigint as buffered from z left join a using (seg) left join b using (seg)""")
+def b20_snapshot_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.snapshot_timing(_depth(spark, sf_dir), ("stream",)).drop("stream")
+
+
 @query("""with ev as (select session_id, time_ms, seq, 0 as kind, case when seq % 41 = 0 then 'snapshot' when seq % 89 = 0 then 'resync' else 'diff' end as event_type from diffs),
 ev2 as (select *, seq % 50 = 0 and event_type = 'diff' as has_gap from ev union all select session_id, time_ms, seq, 1, 'trade', seq % 200 = 0 from trades),
 ev3 as (select *, max(case when has_gap and kind = 0 then 1 else 0 end) over (partition by session_id, time_ms) = 1 as censored from ev2),

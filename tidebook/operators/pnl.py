@@ -258,3 +258,17 @@ def pre_fill_drift(fills: DataFrame, placed: DataFrame, quotes: DataFrame, vol_w
         F.col("f_spread").alias("spread"), bps(F.col("f_spread"), F.col("f_mid")).alias("spread_bps"), "vol_bps",
         quote_position(F.col("side"), F.col("price"), F.col("f_bid"), F.col("f_ask")).alias("position"),
     )
+
+
+def pre_fill_means(rows: DataFrame, keys: Sequence[str] = BY) -> DataFrame:
+    """Means of ``pre_fill_drift``'s rows; a value that is unknown counts in none."""
+    of = ("distance_bps", "edge_bps", "move_bps", "spread", "spread_bps")
+    return rows.groupBy(*keys).agg(F.count("*").alias("fills"), *[F.avg(c).alias(f"avg_{c}") for c in of])
+
+
+def lot_records(lots: DataFrame, keys: Sequence[str] = BY) -> DataFrame:
+    """What the interval estimates resample: each lot's results and its net result per unit (null without quantity)."""
+    per_unit = F.when(F.col("qty") != 0, F.col("net_pnl") / F.col("qty"))
+    return lots.select(
+        *keys, "open_fill_id", "close_fill_id", "net_pnl", F.col("realized_pnl").alias("gross_pnl"), F.col("total_fees").alias("fees"), "hold_ms", per_unit.alias("net_per_unit")
+    )

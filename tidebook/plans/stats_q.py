@@ -316,3 +316,21 @@ def m7_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = [("1992-01-01", f"{y}-12-31", f"{y + 1}-01-01", f"{y + 1}-12-31") for y in (1994, 1995, 1996)]
     tests, _ = A.walk_forward(view(spark, sf_dir, "bars"), RUNS, windows)
     return tests
+
+
+@query(f"""with {QL}, f as (select *, time_ms - {MIN30} as placed_ms from fills),
+p as (select f.*, g.mid as pm from f asof left join ql g on f.session_id = g.session_id and f.placed_ms >= g.time_ms),
+x as (select p.*, g.mid as fm, g.bid, g.ask, case side when 'buy' then 1 else -1 end as sgn from p asof left join ql g on p.session_id = g.session_id and p.time_ms >= g.time_ms)
+select session_id, count(*) as fills, round(avg(sgn * (pm - price) / pm * 10000), 4) as avg_distance_bps, round(avg(sgn * (fm - price) / fm * 10000), 4) as avg_edge_bps,
+round(avg(sgn * (fm - pm) / pm * 10000), 4) as avg_move_bps, round(avg(ask - bid), 4) as avg_spread, round(avg((ask - bid) / fm * 10000), 4) as avg_spread_bps from x group by 1""")
+def f17_pre_fill_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fills = view(spark, sf_dir, "fills").withColumn("order_id", F.col("fill_id"))
+    placed = fills.select("session_id", "order_id", (F.col("time_ms") - MIN30).alias("placed_ms"))
+    got = P.pre_fill_means(P.pre_fill_drift(fills, placed, view(spark, sf_dir, "quotes"), HOUR))
+    return got.withColumns({c: F.round(c, 4) for c in got.columns if c.startswith("avg_")})
+
+
+@query(f"""with {QL}, {PNL}, {LOTS} select session_id, open_fill_id, close_fill_id, round(realized_pnl - fees, 6) as net_pnl, realized_pnl::bigint as gross_pnl, round(fees, 6) as fees, hold_ms,
+round((realized_pnl - fees) / qty, 6) as net_per_unit from lots""")
+def f27_lot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(P.lot_records(_lots(spark, sf_dir)), "net_pnl", "fees", "net_per_unit")

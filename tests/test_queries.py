@@ -1,4 +1,4 @@
-"""Every core query against its SQL in DuckDB, and all of them on an empty events table."""
+"""Every core query against its SQL in DuckDB; those without SQL are only run."""
 
 import math
 

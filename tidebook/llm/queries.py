@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk
+from . import exact_dedup, grouped_packing, html_extract, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk
 from .base import table
 
 
@@ -65,6 +65,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_grouped_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = grouped_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secrets,
         op9_pack,
         op10_top_k,
+        op11_grouped_pack,
     )
     return {f.__name__: f for f in found}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grouped_packing, html_extract, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk
+from . import exact_dedup, grouped_packing, html_extract, langid, lexical, line_dedup, mixing, near_dedup, packing, prefix_trie, secrets, sharding, topk
 from .base import table
 
 
@@ -72,6 +72,14 @@ def op11_grouped_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -85,9 +93,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_pack,
         op10_top_k,
         op11_grouped_pack,
+        op12_lexical_search,
+        op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op10_top_k": topk.ORACLE}
+    return {
+        "op6_exact_dedup": exact_dedup.ORACLE,
+        "op10_top_k": topk.ORACLE,
+        "op12_lexical_search": lexical.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
+    }

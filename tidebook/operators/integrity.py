@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import CHUNK
+from .streams import snapshot_links
+
 #: Names of the reasons, in the order in which they are listed.
 REASONS = (
     "at_or_after_cutoff", "missing_depth_file", "missing_trade_file", "depth_decode_error", "trade_decode_error", "no_depth_snapshot", "no_depth_diffs", "no_trade_rows",
@@ -83,7 +86,7 @@ def rejections(hours: DataFrame, depth: DataFrame, trades: DataFrame, by: Sequen
     return rows.withColumn("rejection_reasons", reasons).withColumn("valid", F.size("rejection_reasons") == 0)
 
 
-def snapshot_timing(depth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def snapshot_timing(depth: DataFrame, by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """One row per snapshot: how long until diffs came, bridged its id and reached the policy's boundary.
 
     ``depth``: keys, seq, recv_ms, request_ms (null in old captures), event_type (snapshot or diff), time_ms,
@@ -92,32 +95,22 @@ def snapshot_timing(depth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The boundary is the first of these that was received after the response (``>=`` if the request time is known, else
     ``>``). What follows the boundary or a break isn't looked at. A snapshot without diffs has null times.
     """
-    snap = F.col("event_type") == "snapshot"
-    rows = depth.withColumn("__seg", F.count_if(snap).over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).filter("__seg > 0")
-    head = [*by, "__seg"]
-    whole = Window.partitionBy(*head)
-    past = Window.partitionBy(*head).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    of_snap = F.struct("seq", F.col("last_update_id").alias("id"), F.col("recv_ms").alias("cutoff"), F.coalesce("request_ms", "recv_ms").alias("tag"), F.col("request_ms").isNull().alias("legacy"))
-    rows = rows.withColumn("s", F.min(F.when(snap, of_snap)).over(whole))
-    rows = rows.withColumn("kept", ~snap & (F.col("last_update_id") > F.col("s.id")))
-    rows = rows.withColumn("prev", F.max_by("last_update_id", F.when(F.col("kept"), F.col("seq"))).over(past))
-    bridges = (F.col("first_update_id") <= F.col("s.id") + 1) & (F.col("s.id") + 1 <= F.col("last_update_id"))
-    linked = F.when(F.col("prev").isNull(), bridges).otherwise(F.col("first_update_id") == F.col("prev") + 1)
-    after = (F.col("recv_ms") > F.col("s.cutoff")) | (~F.col("s.legacy") & (F.col("recv_ms") == F.col("s.cutoff")))
-    rows = rows.withColumn("broke", F.min(F.when(F.col("kept") & ~linked, F.col("seq"))).over(whole))
-    rows = rows.withColumn("out", F.min(F.when(F.col("kept") & linked & after, F.col("seq"))).over(whole))
-    rows = rows.filter(F.col("seq") <= F.coalesce(F.least("broke", "out"), "seq"))
-    found = rows.groupBy(*head).agg(
-        F.first("s").alias("s"),
-        F.min_by("recv_ms", F.when(~snap & (F.col("recv_ms") > F.col("s.tag")), F.col("seq"))).alias("first_recv_ms"),
-        F.min(F.when(F.col("kept"), F.struct("seq", "time_ms", "recv_ms"))).alias("bridge"),
-        F.min(F.when(F.col("seq") == F.col("out"), F.struct("seq", "time_ms", "recv_ms"))).alias("bound"),
+    rows = snapshot_links(depth, by, chunk).filter("snap is not null")
+    diff, tag = F.col("event_type") != "snapshot", F.col("snap.tag")
+    rows = rows.filter(F.col("seq") <= F.coalesce(F.least("broke", "out.seq"), "seq")).withColumn("__of", F.col("snap.seq"))
+    kept = F.col("kept")
+    bound = F.when(F.col("broke").isNull() | (F.col("out.seq") < F.col("broke")), F.col("out"))
+    found = rows.groupBy(*by, "__of").agg(
+        F.first("snap").alias("s"),
+        F.min_by("recv_ms", F.when(diff & (F.col("recv_ms") > tag), F.col("seq"))).alias("first_recv_ms"),
+        F.min(F.when(kept, F.struct("seq", "time_ms", "recv_ms"))).alias("bridge"),
+        F.first(bound).alias("bound"),
         F.coalesce(F.max(F.col("seq") == F.col("broke")), F.lit(False)).alias("broken"),
-        F.count_if(F.col("kept") & F.coalesce(F.col("seq") != F.col("broke"), F.lit(True))).alias("buffered"),
+        F.count_if(kept & F.coalesce(F.col("seq") != F.col("broke"), F.lit(True))).alias("buffered"),
     )
     tag = F.col("s.tag")
     return found.select(
-        *by, F.col("s.seq").alias("seq"), F.col("s.legacy").alias("legacy_tag"), tag.alias("tag_ms"), (F.col("first_recv_ms") - tag).alias("first_delay_ms"),
+        *by, F.col("s.seq").alias("seq"), (~F.col("s.timed")).alias("legacy_tag"), tag.alias("tag_ms"), (F.col("first_recv_ms") - tag).alias("first_delay_ms"),
         F.col("bridge.time_ms").alias("bridge_ms"), (F.col("bridge.time_ms") - tag).alias("bridge_delay_ms"), F.col("bridge.recv_ms").alias("bridge_recv_ms"),
         (F.col("bridge").isNotNull() & ~F.col("broken")).alias("bridge_valid"), F.col("bound.time_ms").alias("boundary_ms"), F.col("bound.recv_ms").alias("boundary_recv_ms"),
         (F.col("bound.time_ms") - tag).alias("boundary_delay_ms"), F.col("bound").isNotNull().alias("boundary_valid"), "buffered",

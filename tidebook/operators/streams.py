@@ -1,4 +1,7 @@
-"""Validation of ordered streams: gaps, snapshot bridging, censoring, integrity."""
+"""Validation of ordered streams: gaps, snapshot bridging, censoring, integrity.
+
+Whatever depends on earlier rows is a running value by chunks (``scans``), so one stream without any key is as parallel as many.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +10,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import CHUNK, NUMBER, in_chunks, over_groups, with_last
+
 BY = ("session_id",)
+HOUR_MS = 3_600_000
 
 
-def trade_gaps(trades: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ("seq",)) -> DataFrame:
-    """``has_gap``: the trade id isn't the last one plus one. The first row is never a gap."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return trades.withColumn("has_gap", F.coalesce(F.col("agg_trade_id") != F.lag("agg_trade_id").over(w) + 1, F.lit(False)))
+def _continues(rows: DataFrame, first: str, last: str, by: Sequence[str], order: Sequence[str], chunk: int) -> DataFrame:
+    """``has_gap``: ``first`` isn't the last known ``last`` plus one. The first row is never a gap."""
+    known = with_last(in_chunks(rows, order[0], chunk), {"__last": F.col(last)}, by, order)
+    return known.withColumn("has_gap", F.coalesce(F.col(first) != F.col("__last") + 1, F.lit(False))).drop("__last", NUMBER)
+
 
+def trade_gaps(trades: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ("seq",), chunk: int = CHUNK) -> DataFrame:
+    """``has_gap``: the trade id isn't the last one plus one."""
+    return _continues(trades, "agg_trade_id", "agg_trade_id", by, order, chunk)
 
-def depth_gaps(diffs: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ("seq",)) -> DataFrame:
+
+def depth_gaps(diffs: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ("seq",), chunk: int = CHUNK) -> DataFrame:
     """``has_gap``: a diff's first id isn't the last diff's final id plus one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return diffs.withColumn("has_gap", F.coalesce(F.col("first_update_id") != F.lag("last_update_id").over(w) + 1, F.lit(False)))
+    return _continues(diffs, "first_update_id", "last_update_id", by, order, chunk)
 
 
-def monotone_violations(rows: DataFrame, time: str = "time_ms", by: Sequence[str] = BY, order: Sequence[str] = ("seq",)) -> DataFrame:
+def monotone_violations(rows: DataFrame, time: str = "time_ms", by: Sequence[str] = BY, order: Sequence[str] = ("seq",), chunk: int = CHUNK) -> DataFrame:
     """Rows whose time is before their predecessor's."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("before_ms", F.lag(time).over(w)).filter(F.col(time) < F.col("before_ms"))
+    known = with_last(in_chunks(rows, order[0], chunk), {"before_ms": F.col(time)}, by, order)
+    return known.filter(F.col(time) < F.col("before_ms")).drop(NUMBER)
 
 
 def require_monotone(rows: DataFrame, time: str = "time_ms", by: Sequence[str] = BY, order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -46,7 +56,37 @@ def position_in(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return rows.withColumn("event_no", F.row_number().over(w))
 
 
-def bridge_snapshots(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def snapshot_links(depth: DataFrame, by: Sequence[str] = BY, chunk: int = CHUNK) -> DataFrame:
+    """Each row of a recorded depth stream with its snapshot's state machine: what is pending, and where that ends.
+
+    Adds snap (the last snapshot up to the row: seq, id, cutoff, tag, timed), kept (a diff that the snapshot doesn't
+    cover), linked (of kept ones: it bridges the snapshot's id, or continues the last kept one), before_id (the last
+    row's final id), and of the whole stretch up to the next snapshot broke (first kept diff that isn't linked)
+    and out (first kept diff received after the response: seq, time_ms, recv_ms).
+    """
+    is_snap = F.col("event_type") == "snapshot"
+    state = F.struct(
+        "seq",
+        F.col("last_update_id").alias("id"),
+        F.col("recv_ms").alias("cutoff"),
+        F.coalesce("request_ms", "recv_ms").alias("tag"),
+        F.col("request_ms").isNotNull().alias("timed"),
+    )
+    rows = with_last(in_chunks(depth, "seq", chunk), {"snap": F.when(is_snap, state)}, by, own_row=True)
+    rows = rows.withColumn("kept", ~is_snap & (F.col("snap").isNull() | (F.col("last_update_id") > F.col("snap.id"))))
+    last_kept = F.when(F.col("kept"), F.struct(F.col("snap.seq").alias("of"), F.col("last_update_id").alias("id")))
+    rows = with_last(rows, {"__kept": last_kept, "before_id": F.col("last_update_id")}, by)
+    previous = F.when(F.col("__kept.of").eqNullSafe(F.col("snap.seq")), F.col("__kept.id"))
+    continues = F.col("first_update_id") == previous + 1
+    bridges = (F.col("first_update_id") <= F.col("snap.id") + 1) & (F.col("snap.id") + 1 <= F.col("last_update_id"))
+    linked = F.when(previous.isNotNull(), continues).otherwise(F.col("snap").isNull() | bridges)
+    rows = rows.withColumn("linked", F.when(F.col("kept"), linked)).withColumn("__of", F.col("snap.seq"))
+    after = F.when(F.col("snap.timed"), F.col("recv_ms") >= F.col("snap.cutoff")).otherwise(F.col("recv_ms") > F.col("snap.cutoff"))
+    ends = {"broke": F.when(~F.col("linked"), F.col("seq")), "out": F.when(F.col("kept") & after, F.struct("seq", "time_ms", "recv_ms"))}
+    return over_groups(rows, "__of", ends, by).drop("__kept", "__of", NUMBER)
+
+
+def bridge_snapshots(depth: DataFrame, by: Sequence[str] = BY, chunk: int = CHUNK) -> DataFrame:
     """What a recorded depth stream gives to a replay, in recorded order.
 
     ``depth``: keys, seq, recv_ms, request_ms (null in old captures), event_type
@@ -57,68 +97,31 @@ def bridge_snapshots(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     That boundary's time then holds for the snapshot and the diffs before it, and only
     the boundary itself reaches the strategy. A failed bridge discards the snapshot:
     of its waiting rows only the failing diff remains, marked as a gap. A resync row at the
-    request time marks where the old book ends.
+    request time marks where the old book ends. Past the pending state every diff counts, with plain contiguity.
 
     Columns added: has_gap, dispatch, sub (0 resync, 1 else); rows that never reach the replay are left out.
     """
-    w = Window.partitionBy(*by).orderBy("seq")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    snap = F.col("event_type") == "snapshot"
-    rows = depth.withColumn("__seg", F.sum(F.when(snap, 1).otherwise(0)).over(run))
-    head = [*by, "__seg"]
-    in_seg = Window.partitionBy(*head).orderBy("seq")
-    to_here = in_seg.rowsBetween(Window.unboundedPreceding, 0)
-
-    def of_snapshot(value: Column) -> Column:
-        return F.first(F.when(snap, value), ignorenulls=True).over(to_here)
-
-    rows = rows.withColumns(
-        {
-            "__id": of_snapshot(F.col("last_update_id")),
-            "__cutoff": of_snapshot(F.col("recv_ms")),
-            "__timed": of_snapshot(F.col("request_ms").isNotNull()),
-        }
-    )
-    stale = ~snap & F.col("__id").isNotNull() & (F.col("last_update_id") <= F.col("__id"))
-    kept = rows.withColumn("__kept", ~snap & ~stale)
-    nth = F.sum(F.when(F.col("__kept"), 1).otherwise(0)).over(to_here)
-    before = F.last(F.when(F.col("__kept"), F.col("last_update_id")), ignorenulls=True).over(in_seg.rowsBetween(Window.unboundedPreceding, -1))
-    kept = kept.withColumn("__nth", nth).withColumn("__prev", before)
-    contiguous = F.col("first_update_id") == F.col("__prev") + 1
-    bridges = (F.col("first_update_id") <= F.col("__id") + 1) & (F.col("__id") + 1 <= F.col("last_update_id"))
-    linked = F.when(F.col("__id").isNull(), F.coalesce(contiguous, F.lit(True))).otherwise(F.when(F.col("__nth") == 1, bridges).otherwise(contiguous))
-    kept = kept.withColumn("__gap", F.when(F.col("__kept"), ~linked))
-    after = F.when(F.col("__timed"), F.col("recv_ms") >= F.col("__cutoff")).otherwise(F.col("recv_ms") > F.col("__cutoff"))
-    whole = Window.partitionBy(*head)
-    kept = kept.withColumns(
-        {
-            "__broke": F.min(F.when(F.col("__gap"), F.col("seq"))).over(whole),
-            "__out": F.min(F.when(F.col("__kept") & after, F.col("seq"))).over(whole),
-            "__has": F.col("__id").isNotNull(),
-        }
-    )
-    # released: a boundary was reached before any break
-    kept = kept.withColumn("__released", F.col("__out").isNotNull() & (F.col("__broke").isNull() | (F.col("__out") < F.col("__broke"))))
-    # a diff that was dropped as stale stays dropped only while the snapshot is pending
-    boundary_ms = F.max(F.when(F.col("seq") == F.col("__out"), F.col("time_ms"))).over(whole)
-    kept = kept.withColumn("__at", boundary_ms)
-    ended = F.when(F.col("__released"), F.col("__out")).otherwise(F.col("__broke"))
-    waiting = F.col("__has") & (ended.isNull() | (F.col("seq") <= ended))
-    emitted = (
-        F.when(~F.col("__has"), ~snap)
-        .when(snap, F.col("__released"))
-        .when(waiting, F.col("__kept") & (F.col("__released") | (F.col("seq") == F.col("__broke"))))
+    rows = snapshot_links(depth, by, chunk)
+    is_snap = F.col("event_type") == "snapshot"
+    has, out, broke = F.col("snap").isNotNull(), F.col("out.seq"), F.col("broke")
+    released = out.isNotNull() & (broke.isNull() | (out < broke))
+    rows = rows.withColumn("__released", F.coalesce(released, F.lit(False)))
+    end = F.when(F.col("__released"), out).otherwise(broke)
+    rows = rows.withColumn("__waits", has & (end.isNull() | (F.col("seq") <= end)))
+    waits, free = F.col("__waits"), F.col("__released")
+    goes = (
+        F.when(~has, ~is_snap)
+        .when(is_snap, free)
+        .when(waits, F.col("kept") & (free | F.coalesce(F.col("seq") == broke, F.lit(False))))
         .otherwise(F.lit(True))
     )
-    # past the pending state every diff counts, with plain contiguity
-    plain_prev = F.lag("last_update_id").over(in_seg)
-    gap = F.when(snap, F.lit(False)).when(F.col("__has") & ~waiting, F.col("first_update_id") != plain_prev + 1).otherwise(F.coalesce("__gap", F.lit(False)))
-    time = F.when(waiting & F.col("__released"), F.col("__at")).otherwise(F.col("time_ms"))
-    dispatch = F.when(snap, F.lit(False)).when(waiting & F.col("__released"), F.col("seq") == F.col("__out")).otherwise(F.lit(True))
-    out = kept.withColumn("__emit", emitted).withColumns({"has_gap": gap, "dispatch": dispatch, "__time": time}).filter("__emit")
+    plain = F.coalesce(F.col("first_update_id") != F.col("before_id") + 1, F.lit(False))
+    gap = F.when(is_snap, F.lit(False)).when(has & ~waits, plain).otherwise(F.coalesce(~F.col("linked"), F.lit(False)))
+    time = F.when(waits & free, F.col("out.time_ms")).otherwise(F.col("time_ms"))
+    dispatch = F.when(is_snap, F.lit(False)).when(waits & free, F.col("seq") == out).otherwise(F.lit(True))
     names = [c for c in depth.columns if c != "time_ms"]
-    body = out.select(*names, F.col("__time").alias("time_ms"), "has_gap", "dispatch", F.lit(1).alias("sub"))
-    resync = depth.filter(snap).withColumns(
+    body = rows.filter(goes).select(*names, time.alias("time_ms"), gap.alias("has_gap"), dispatch.alias("dispatch"), F.lit(1).alias("sub"))
+    resync = depth.filter(is_snap).withColumns(
         {
             "event_type": F.lit("resync"),
             "time_ms": F.coalesce("request_ms", "recv_ms"),
@@ -130,22 +133,23 @@ def bridge_snapshots(depth: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return body.unionByName(resync.select(*body.columns))
 
 
-def gap_state(events: DataFrame, by: Sequence[str] = BY, trade_gaps_pause: bool = True) -> DataFrame:
+def gap_state(events: DataFrame, by: Sequence[str] = BY, trade_gaps_pause: bool = True, chunk_ms: int = HOUR_MS) -> DataFrame:
     """Adds ``censored`` (its whole millisecond is tainted by a gap) and ``in_gap`` (not applied).
 
     ``events``: keys, time_ms, kind (0 depth, 1 trade), seq, event_type, has_gap. A replay starts in
     a gap, enters one at a resync, a gap or a tainted millisecond, and leaves it at a snapshot.
     """
     reports = F.col("has_gap") & ((F.col("kind") == 0) | F.lit(trade_gaps_pause))
-    ms = Window.partitionBy(*by, "time_ms")
-    rows = events.withColumn("censored", F.max(F.when(reports, 1).otherwise(0)).over(ms) == 1)
+    rows = in_chunks(events, "time_ms", chunk_ms)  # a millisecond lies in one chunk
+    ms = Window.partitionBy(*by, NUMBER, "time_ms")
+    rows = rows.withColumn("censored", F.max(F.when(reports, 1).otherwise(0)).over(ms) == 1)
     mark = (
         F.when(F.col("censored"), F.lit(True))
         .when(F.col("event_type") == "resync", F.lit(True))
         .when(F.col("event_type") == "snapshot", F.lit(False))
     )
-    run = Window.partitionBy(*by).orderBy("time_ms", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("in_gap", F.coalesce(F.last(mark, ignorenulls=True).over(run), F.lit(True)))
+    rows = with_last(rows, {"in_gap": mark}, by, ("time_ms", "kind", "seq"), own_row=True)
+    return rows.withColumn("in_gap", F.coalesce("in_gap", F.lit(True))).drop(NUMBER)
 
 
 def replay_counters(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -166,14 +170,14 @@ def replay_counters(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def hour_calendar(rows: DataFrame, by: Sequence[str] = BY, time: str = "time_ms") -> DataFrame:
     """Every hour from a key's first to its last, as milliseconds."""
-    hour = F.lit(3_600_000)
+    hour = F.lit(HOUR_MS)
     ends = rows.groupBy(*by).agg(F.min(F.floor(F.col(time) / hour)).alias("lo"), F.max(F.floor(F.col(time) / hour)).alias("hi"))
     return ends.select(*by, F.explode(F.sequence("lo", "hi")).alias("h")).select(*by, (F.col("h") * hour).cast("long").alias("hour_ms"))
 
 
 def hour_integrity(depth: DataFrame, trades: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """A row per hour of the dense calendar: counts, gaps, first and last ids, gaps across hours, and reasons to reject it."""
-    hour = (F.floor(F.col("time_ms") / F.lit(3_600_000)) * 3_600_000).cast("long")
+    hour = (F.floor(F.col("time_ms") / F.lit(HOUR_MS)) * HOUR_MS).cast("long")
     d = depth_gaps(depth, by).withColumn("hour_ms", hour).groupBy(*by, "hour_ms").agg(
         F.count("*").alias("n_depth"), F.count_if("has_gap").alias("depth_gaps"),
         F.min_by("first_update_id", "seq").alias("first_id"), F.max_by("last_update_id", "seq").alias("last_id"),

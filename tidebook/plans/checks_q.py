@@ -75,6 +75,13 @@ def b17_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejections(spark, sf_dir).select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_hours"))
 
 
+@query(f"""with {RECORDS}, ok as (select hour_ms from rj where reasons = ''), c as (select hour_ms, count(*) over (order by hour_ms range between current row and {HOUR} following) as n from ok)
+select hour_ms from c where n = 2""")
+def b19_accepted_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that begin two accepted hours in a row: none of the thirteen reasons holds for either."""
+    return S.candidate_starts(_rejections(spark, sf_dir).select("stream", "hour_ms", "valid"), 2, by=("stream",)).select("hour_ms")
+
+
 @query("""with r as (select seq, seq % 97 = 0 as snap, time_ms as recv_ms, case when seq % 97 = 0 and seq % 2 = 0 then time_ms - 5 end as request_ms, case when seq % 97 <> 0 then time_ms end as time_ms,
         first_update_id - case when seq % 97 = 1 then 10 else 0 end as f, last_update_id + case when seq % 97 = 0 then 20 else 0 end as l from diffs),
 g as (select *, sum(snap::int) over (order by seq) as seg from r),
@@ -90,7 +97,7 @@ select snap_seq as seq, legacy as legacy_tag, tag as tag_ms, first_recv - tag as
 case when done then pms end as boundary_ms, case when done then precv end as boundary_recv_ms, case when done then pms - tag end as boundary_delay_ms, done as boundary_valid,
 (coalesce(n, 0) - broken::int)::bigint as buffered from z left join a using (seg) left join b using (seg)""")
 def b20_snapshot_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.snapshot_timing(_depth(spark, sf_dir), ("stream",)).drop("stream")
+    return I.snapshot_timing(_depth(spark, sf_dir))
 
 
 @query("""with ev as (select session_id, time_ms, seq, 0 as kind, case when seq % 41 = 0 then 'snapshot' when seq % 89 = 0 then 'resync' else 'diff' end as event_type from diffs),

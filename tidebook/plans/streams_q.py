@@ -20,25 +20,43 @@ def b1_trade_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select d.seq, coalesce(first_update_id <> lag(last_update_id) over (order by seq) + 1, false) as has_gap from diffs d""")
 def b2_depth_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = view(spark, sf_dir, "diffs").withColumn("stream", F.lit(0))
-    return S.depth_gaps(one, by=("stream",)).select("seq", "has_gap")
+    return S.depth_gaps(view(spark, sf_dir, "diffs"), by=()).select("seq", "has_gap")
 
 
 def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded stream: every 97th event is a snapshot that covers the ids up to two events later."""
-    d = view(spark, sf_dir, "diffs").withColumn("stream", F.lit(0))
     snap = F.col("seq") % 97 == 0
-    return d.select(
-        "stream", "seq", F.col("time_ms").alias("recv_ms"), F.when(snap & (F.col("seq") % 2 == 0), F.col("time_ms") - 5).alias("request_ms"),
+    return view(spark, sf_dir, "diffs").select(
+        "seq", F.col("time_ms").alias("recv_ms"), F.when(snap & (F.col("seq") % 2 == 0), F.col("time_ms") - 5).alias("request_ms"),
         F.when(snap, "snapshot").otherwise("diff").alias("event_type"), F.when(~snap, F.col("time_ms")).alias("time_ms"),
         F.when(~snap, F.col("first_update_id") - 10 * (F.lit(1) * (F.col("seq") % 97 == 1).cast("int"))).alias("first_update_id"),
         F.when(snap, F.col("last_update_id") + 20).otherwise(F.col("last_update_id")).alias("last_update_id"),
     )
 
 
-@query()
+#: The stream of ``_depth`` with each row's snapshot (seg), last kept id of that stretch (prev), and where waiting ends (stop).
+BRIDGED = """
+r as (select seq, time_ms as recv_ms, case when seq % 97 = 0 and seq % 2 = 0 then time_ms - 5 end as request_ms, seq % 97 = 0 as snap, case when seq % 97 <> 0 then time_ms end as time_ms,
+      case when seq % 97 <> 0 then first_update_id - case when seq % 97 = 1 then 10 else 0 end end as f, last_update_id + case when seq % 97 = 0 then 20 else 0 end as l from diffs),
+g as (select *, max(case when snap then seq end) over (order by seq) as seg, lag(l) over (order by seq) as before_l from r),
+h as (select seq as seg, l as id, recv_ms as cutoff, request_ms is not null as timed from g where snap),
+k as (select g.*, h.id, h.cutoff, h.timed, not snap and (h.id is null or l > h.id) as kept from g left join h using (seg)),
+p as (select *, last_value(case when kept then l end ignore nulls) over (partition by seg order by seq rows between unbounded preceding and 1 preceding) as prev from k),
+q as (select *, case when kept then case when prev is not null then f = prev + 1 when seg is null then true else f <= id + 1 and id + 1 <= l end end as linked,
+      kept and case when timed then recv_ms >= cutoff else recv_ms > cutoff end as after from p),
+e as (select *, min(case when not linked then seq end) over (partition by seg) as broke, min(case when after then seq end) over (partition by seg) as bound from q),
+w as (select *, coalesce(bound is not null and (broke is null or bound < broke), false) as freed from e),
+x as (select *, seg is not null and coalesce(seq <= case when freed then bound else broke end, true) as waits, max(case when seq = bound then time_ms end) over (partition by seg) as bound_ms from w)"""
+
+
+@query(f"""with {BRIDGED}
+select seq, recv_ms, request_ms, case when snap then 'snapshot' else 'diff' end as event_type, case when waits and freed then bound_ms else time_ms end as time_ms, f as first_update_id, l as last_update_id,
+case when snap then false when seg is not null and not waits then coalesce(f <> before_l + 1, false) else coalesce(not linked, false) end as has_gap,
+case when snap then false when waits and freed then seq = bound else true end as dispatch, 1 as sub from x
+where case when seg is null then not snap when snap then freed when waits then kept and (freed or coalesce(seq = broke, false)) else true end
+union all select seq, recv_ms, request_ms, 'resync', coalesce(request_ms, recv_ms), f, l, false, false, 0 from r where snap""")
 def b3_b6_bridged_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bridge_snapshots(_depth(spark, sf_dir), by=("stream",))
+    return S.bridge_snapshots(_depth(spark, sf_dir), by=())
 
 
 @query("""with d as (select time_ms, lag(time_ms) over (partition by session_id order by seq) as p, seq from quotes) select seq from d where time_ms < p""")
@@ -106,9 +124,7 @@ hv as (select *, array_to_string(list_filter([case when n_depth = 0 then 'no_dep
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "diffs").withColumn("stream", F.lit(0))
-    t = view(spark, sf_dir, "trades").withColumn("stream", F.lit(0))
-    return S.hour_integrity(d, t, by=("stream",))
+    return S.hour_integrity(view(spark, sf_dir, "diffs"), view(spark, sf_dir, "trades"), by=())
 
 
 @query(f"with {INTEGRITY} select hour_ms, n_depth, depth_gaps, n_trades, trade_gaps, first_id, last_id, cross_gap, reasons from hv")
@@ -121,7 +137,7 @@ def b15_b17_hour_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 select hour_ms from c where n = 3""")
 def b19_candidate_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = _hours(spark, sf_dir).withColumn("valid", F.col("n_depth") >= 10)
-    return S.candidate_starts(hours, 3, by=("stream",)).select("hour_ms")
+    return S.candidate_starts(hours, 3, by=()).select("hour_ms")
 
 
 @query("""with g as (select session_id, time_ms - lag(time_ms) over (partition by session_id order by time_ms, seq) as gap from quotes)

@@ -57,6 +57,25 @@ def _interval_ofi(rows: DataFrame) -> DataFrame:
 SUMS = ("__ofi", "__depth", "__deep", "__at")
 
 
+def trailing_imbalance(quotes: DataFrame, ofi_ms: int, by: Sequence[str] = BY) -> DataFrame:
+    """raw_ofi and normalized_ofi of the last ``ofi_ms`` after each quote, from the first change on; changes to an empty book don't count.
+
+    Differences of running sums, so the cost doesn't grow with the interval.
+    """
+    order = Window.partitionBy(*by).orderBy("time_ms", "seq")
+    grown = order.rowsBetween(Window.unboundedPreceding, 0)
+    step = ofi_increment(*[F.col(c) for c in ("bid", "bid_qty", "ask", "ask_qty")], [F.lag(c).over(order) for c in ("bid", "bid_qty", "ask", "ask_qty")])
+    depth = F.col("bid_qty") + F.col("ask_qty")
+    counts = F.lag("seq").over(order).isNotNull() & (depth > 0)
+    sums = {"flow": step, "depth": depth, "n": F.lit(1)}
+    rows = valid_samples(quotes).withColumns({f"__{n}": F.sum(F.when(counts, v).otherwise(0)).over(grown) for n, v in sums.items()})
+    names = [f"__{n}" for n in sums]
+    both = asof(rows, rows, by, names, at=F.col("time_ms") - ofi_ms, prefix="s_")
+    flow, deep, n = (F.col(c) - F.coalesce(f"s_{c}", F.lit(0)) for c in names)
+    ratio = F.coalesce(F.try_divide(flow.cast("double"), F.try_divide(deep.cast("double"), n.cast("double"))), F.lit(0.0))
+    return both.select(*quotes.columns, flow.cast("long").alias("raw_ofi"), ratio.alias("normalized_ofi"))
+
+
 def ofi_samples(
     quotes: DataFrame,
     step_ms: int,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from random import Random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bin_index, bin_names, break_even_bps, fee_notional, fraction_label, nearest_boundary, tail_count
+from .resampling import resampled
+from .scans import join_equal
+from .selection import with_quantiles
 
 #: Tail fractions.
 FRACTIONS = ("0.01", "0.05")
@@ -18,10 +19,10 @@ PERCENTS = (1, 5, 10, 25, 75, 90, 95, 99)
 
 def distribution(rows: DataFrame, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     m = F.col(metric)
-    return rows.groupBy(*keys).agg(
-        F.count(m).alias("n"), F.avg(m).alias("mean"), F.median(m).alias("median"), *[F.percentile(m, p / 100).alias(f"p{p:02d}") for p in PERCENTS],
-        F.sum(m).alias("metric_sum"), F.coalesce(F.sum(F.when(m < 0, m)), F.lit(0)).alias("negative_sum"),
-    )
+    sums = rows.groupBy(*keys).agg(
+        F.count(m).alias("n"), F.avg(m).alias("mean"), F.sum(m).alias("metric_sum"), F.coalesce(F.sum(F.when(m < 0, m)), F.lit(0)).alias("negative_sum")
+    )
+    return with_quantiles(sums, rows, metric, {"median": 0.5, **{f"p{p:02d}": p / 100 for p in PERCENTS}}, keys)
 
 
 def tail_flags(rows: DataFrame, metric: str, ties: Sequence[str], keys: Sequence[str] = (), fractions: Sequence[str] = FRACTIONS, prefix: str = "pooled") -> DataFrame:
@@ -183,63 +184,55 @@ def ols_hac(rows: DataFrame, x: str, y: str, keys: Sequence[str], order: Sequenc
     return out.withColumn("t_stat", F.when(F.col("meat") > 0, F.try_divide(F.col("beta"), se))).withColumn("drift_1std", F.col("beta") * F.col("x_std")).drop("meat", "sxx")
 
 
-def percentile(values: Sequence[float], q: float) -> float | None:
-    v = sorted(values)
-    if not v:
-        return None
-    place = q * (len(v) - 1)
-    lo = math.floor(place)
-    return v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (place - lo)
-
-
 def bootstrap_mean(values: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], iterations: int = 10_000, seed: int = 7, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean per key, from the draws of Python's seeded generator; keys are handled apart.
+    """Percentile interval of the mean per key, from the draws of Python's seeded generator, in blocks over tasks.
 
-    ``values`` are per-window results: a few hundred per key at most.
+    ``values`` are per-window results: a few hundred per key, which go along with each block of draws.
     """
-
-    def draw(pdf):
-        import pandas as pd
-
-        v = pdf.sort_values(list(order))[value].dropna().astype(float).tolist()
-        n = len(v)
-        mean = sum(v) / n if n else None
-        lo = hi = mean
-        if n > 1:
-            rng = Random(seed)
-            means = [sum(v[rng.randrange(n)] for _ in range(n)) / n for _ in range(iterations)]
-            a = (1 - confidence) / 2
-            lo, hi = percentile(means, a), percentile(means, 1 - a)
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": n, "mean": mean, "ci_low": lo, "ci_high": hi}
-        return pd.DataFrame([row])
-
-    schema = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
-    return values.groupBy(*keys).applyInPandas(draw, f"{schema}, n long, mean double, ci_low double, ci_high double")
+    v, tail = F.col(value).cast("double"), (1 - confidence) / 2
+    held = F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct(*order, v.alias("__v")))))
+    samples = values.groupBy(*keys).agg(held.alias("__rows")).select(*keys, F.size("__rows").cast("long").alias("n"), F.transform("__rows", lambda x: x["__v"]).alias("data"))
+    whole = samples.withColumn("mean", F.aggregate("data", F.lit(0.0), lambda a, x: a + x) / F.when(F.col("n") > 0, F.col("n")))
+    means = resampled(samples.filter("n > 1"), keys, iterations, seed, lambda data, picks: data[picks].mean(axis=1))
+    ends = means.groupBy(*keys).agg(*[F.percentile("stat", q).alias(c) for c, q in (("__low", tail), ("__high", 1 - tail))])  # ``iterations`` values
+    found = join_equal(whole, ends, keys, "left")
+    return found.select(*keys, "n", "mean", F.coalesce("__low", "mean").alias("ci_low"), F.coalesce("__high", "mean").alias("ci_high"))
 
 
 def cluster_contrast(rows: DataFrame, cluster: str, group: str, value: str, low: str, high: str, iterations: int = 10_000, seed: int = 7) -> DataFrame:
     """Bootstrap over whole clusters of mean(high) - mean(low); draws that lack a group withhold the interval.
 
-    The driver-side draw sees one (sum, count) pair per cluster and group.
+    A cluster goes along as its two sums and counts. Clusters are windows of a panel.
     """
-    spark = rows.sparkSession
-    pair = rows.groupBy(cluster).agg(
-        *[f for g, n in ((low, "a"), (high, "b")) for f in (F.coalesce(F.sum(F.when(F.col(group) == g, F.col(value))), F.lit(0.0)).alias(f"s{n}"), F.count_if(F.col(group) == g).alias(f"c{n}"))]
-    )
-    got = [tuple(r)[1:] for r in pair.orderBy(cluster).collect()]
-    rng, means, undefined = Random(seed), [], 0
-
-    def contrast(some):
-        ca, cb = sum(x[1] for x in some), sum(x[3] for x in some)
-        return None if not ca or not cb else sum(x[2] for x in some) / cb - sum(x[0] for x in some) / ca
-
-    for _ in range(iterations if got else 0):
-        c = contrast([got[rng.randrange(len(got))] for _ in got])
-        undefined += c is None
-        means += [] if c is None else [c]
-    ok = bool(means) and not undefined
-    row = (contrast(got) if got else None, percentile(means, 0.025) if ok else None, percentile(means, 0.975) if ok else None, undefined, "available" if ok else "inconclusive")
-    return spark.createDataFrame([row], "mean double, ci_low double, ci_high double, undefined_resamples long, status string")
+
+    def contrast(data, picks):
+        import numpy as np
+
+        # how often each cluster is drawn, times the clusters' sums and counts
+        times = np.zeros((len(picks), len(data)))
+        np.add.at(times, (np.repeat(np.arange(len(picks)), picks.shape[1]), picks.ravel()), 1)
+        low_sum, low_n, high_sum, high_n = (times @ data).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return high_sum / high_n - low_sum / low_n
+
+    parts = [
+        f
+        for name, c in ((low, "a"), (high, "b"))
+        for f in (F.coalesce(F.sum(F.when(F.col(group) == name, F.col(value))), F.lit(0.0)).cast("double").alias(f"s{c}"), F.count_if(F.col(group) == name).cast("double").alias(f"c{c}"))
+    ]
+    pair = rows.groupBy(cluster).agg(*parts)
+    four = ("sa", "ca", "sb", "cb")
+    held = F.sort_array(F.collect_list(F.struct(cluster, *four)))
+    one = pair.agg(held.alias("__c"), *[F.sum(c).alias(c) for c in four])
+    samples = one.select(F.lit(0).alias("one"), F.size("__c").cast("long").alias("n"), F.transform("__c", lambda x: F.array(*[x[c] for c in four])).alias("data"))
+    drawn = resampled(samples, ["one"], iterations, seed, contrast).withColumn("stat", F.nanvl("stat", F.lit(None)))
+    ends = drawn.agg(F.count("stat").alias("__ok"), F.count_if(F.col("stat").isNull()).alias("undefined_resamples"), *[F.percentile("stat", q).alias(c) for c, q in (("__low", 0.025), ("__high", 0.975))])
+    ok = (F.col("__ok") > 0) & (F.col("undefined_resamples") == 0)
+    mean = F.when((F.col("ca") > 0) & (F.col("cb") > 0), F.col("sb") / F.nullif("cb", F.lit(0)) - F.col("sa") / F.nullif("ca", F.lit(0)))
+    return one.join(ends, F.lit(True)).select(  # one row each
+        mean.alias("mean"), F.when(ok, F.col("__low")).alias("ci_low"), F.when(ok, F.col("__high")).alias("ci_high"), "undefined_resamples",
+        F.when(ok, "available").otherwise("inconclusive").alias("status"),
+    )
 
 
 def fee_break_even(lots: DataFrame, keys: Sequence[str], maker_bps: float, fraction: str = "0.05") -> DataFrame:

@@ -110,7 +110,7 @@ def i2_shared_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 select count(*) as n_ranges, sum(n_hours)::bigint as n_hours, max(n_hours) as longest, min(first_ms) as first_ms, max(last_ms) as last_ms from r having count(*) > 0""")
 def f25_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = _hours(spark, sf_dir).withColumn("valid", F.col("n_depth") >= 12)
-    return R.range_summary(R.valid_ranges(hours, ["stream"]), ["stream"]).drop("stream")
+    return R.range_summary(R.valid_ranges(hours, []), []).filter("n_ranges > 0")
 
 
 @query(f"""with {GAPS} select session_id, seq from ev4 where kind = 0 and not censored and (event_type = 'snapshot' or (event_type = 'diff' and not in_gap))""")

@@ -290,6 +290,39 @@ def test_near_dedup_against_all_pairs_by_share_of_edits(spark):
     assert all(c in (i, i - 1) for i, c in got.items())
 
 
+@pytest.mark.parametrize("even", [False, True])
+@pytest.mark.parametrize("words", [(6, 10), (10, 20), (20, 40), (36, 52), (40, 80), (80, 300)])
+def test_near_dedup_recall_of_sketches(words, even):
+    """Of pairs that are similar, nine in ten share a sketch: short and long, edits at random and at equal distances."""
+    rng = np.random.default_rng(words[0])
+    for share in (0.05, 0.1, 0.15, 0.195):
+        met = total = 0
+        for _ in range(150):
+            n = int(rng.integers(*words, endpoint=True))
+            a = rng.integers(1, 1 << 60, n).astype(np.uint64)
+            edits = max(1, int(share * n))
+            b = a.copy()
+            b[(np.arange(edits) * n // edits + n // (2 * edits)) if even else rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 60, edits).astype(np.uint64)
+            if near_dedup.similar(a, b):
+                values, number = near_dedup.all_sketches([a, b])
+                total += 1
+                met += bool(set(values[: number[0]].tolist()) & set(values[number[0] :].tolist()))
+        assert met >= 0.9 * total > 0, (share, met, total)
+
+
+def test_near_dedup_joins_short_and_evenly_edited_texts(spark):
+    docs = []
+    for g in range(60):
+        n = 8 if g % 2 else 120
+        base = [f"g{g}_{i}" for i in range(n)]
+        edited = [f"new{i}" if i % 6 == 3 else w for i, w in enumerate(base)]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for short in (0, 1):
+        found = [got[2 * g] == got[2 * g + 1] for g in range(short, 60, 2)]
+        assert sum(found) >= 0.9 * len(found)
+
+
 def test_near_dedup_with_null_ids_repeated_rows_and_own_names(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(None, words + " a"), (None, words + " b"), (1, "T one two"), (1, "T one two"), (2, "T one two"), (3, "alone here")]

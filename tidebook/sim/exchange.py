@@ -237,19 +237,17 @@ class Exchange:
             self.note("cancelled", order, now, reason="post_only_would_cross", price=order.price, best_bid=self.book.best(BUY), best_ask=self.book.best(SELL))
             return []
         key = (order.side, order.price)
-        before = self.resting.setdefault(key, [])
+        line = self.resting.setdefault(key, [])
         visible = self.displayed[key] = self.book.qty(*key)
-        order.own = sum((o.left for o in before), ZERO)
-        # never ahead of what an earlier own order still waits for
-        tail = max((o.ahead + o.left for o in before), default=ZERO)
-        floor = max(ZERO, tail - (visible + order.own))
-        order.external = visible + floor
+        order.own = sum((o.left for o in line), ZERO)
+        # it stands behind all that is shown and ours, and never before the end of an earlier own order's stretch
+        order.external = max([visible + order.own, *(o.ahead + o.left for o in line)]) - order.own
         self.ranks += 1
         order.rank, order.status = self.ranks, "resting"
-        before.append(order)
+        line.append(order)
         self.note(
             "queued", order, now, price=order.price, queue_ahead=order.ahead, external_queue_ahead=order.external, own_queue_ahead=order.own,
-            visible_queue_at_arrival=visible, fifo_floor_adjustment=floor,
+            visible_queue_at_arrival=visible, fifo_floor_adjustment=order.external - visible,
         )
         return []
 
@@ -279,30 +277,29 @@ class Exchange:
     # --- market data ---
 
     def trade(self, price: Decimal, qty: Decimal, buyer_is_maker: bool, now: int) -> list[Fill]:
-        """A recorded trade drains and fills our orders at exactly its price, first come first served, never beyond its quantity."""
+        """A recorded trade takes the first ``qty`` units of the line at exactly its price.
+
+        An order of ours is a stretch of that line, from ``ahead`` on; what the taken units overlap of it is filled. What is
+        left before it is as much shorter, and ours in it by what earlier own orders were filled.
+        """
         key = (BUY if buyer_is_maker else SELL, price)
         self.traded[key] += qty
-        made, own_filled = [], ZERO
-        for order in list(self.resting.get(key, ())):
-            ahead = order.ahead
-            drain = min(qty, ahead)
-            own = min(own_filled, order.own, drain)
-            external = drain - own
-            if external > order.external:  # round-off goes to the own part
-                own, external = min(order.own, own + external - order.external), order.external
-            got = min(qty - drain, order.left, max(ZERO, qty - own_filled))
-            order.external -= external
-            order.own -= own
-            if external + own > 0:
+        made, ours = [], ZERO
+        for order in [*self.resting.get(key, ())]:
+            stood, external, own = order.ahead, order.external, order.own
+            overlap = max(ZERO, min(order.left, qty - max(stood, ours)))
+            before = max(ZERO, stood - qty)
+            order.own = min(before, max(ZERO, own - ours))
+            order.external = before - order.own
+            if before < stood:
                 self.note(
-                    "queue_drain", order, now, reason="trade", price=price, trade_qty=qty, drained_qty=external + own, external_drained_qty=external,
-                    own_drained_qty=own, queue_before=ahead, queue_after=order.ahead,
+                    "queue_drain", order, now, reason="trade", price=price, trade_qty=qty, drained_qty=stood - before, external_drained_qty=external - order.external,
+                    own_drained_qty=own - order.own, queue_before=stood, queue_after=before,
                 )
-            if got > 0:
-                at_fill = order.ahead
-                made.append(self._fill(order, price, got, True, now))
-                own_filled += got
-                more = {"fill_qty": got, "fill_price": price, "trade_qty": qty, "queue_ahead_before_trade": ahead, "queue_ahead_before_fill": at_fill}
+            if overlap:
+                made.append(self._fill(order, price, overlap, True, now))
+                ours += overlap
+                more = {"fill_qty": overlap, "fill_price": price, "trade_qty": qty, "queue_ahead_before_trade": stood, "queue_ahead_before_fill": before}
                 if order.left:
                     self.note("partial_fill", order, now, filled=order.filled, remaining=order.left, **more)
                 else:

@@ -163,3 +163,8 @@ def fraction_label(fraction: str) -> str:
 
     pct = format((Decimal(fraction) * 100).normalize(), "f")
     return pct.replace(".", "p") + "pct"
+
+
+def hour_label(time_ms: Column) -> Column:
+    """The hour of a time as YYYY-MM-DD HH:00 (in the session's zone)."""
+    return F.date_format(F.timestamp_millis(time_ms), "yyyy-MM-dd HH:00")

@@ -38,12 +38,12 @@ def monotone_violations(rows: DataFrame, time: str = "time_ms", by: Sequence[str
     return known.filter(F.col(time) < F.col("before_ms")).drop(NUMBER)
 
 
-def require_monotone(rows: DataFrame, time: str = "time_ms", by: Sequence[str] = BY, order: Sequence[str] = ("seq",)) -> DataFrame:
+def require_monotone(rows: DataFrame, time: str = "time_ms", by: Sequence[str] = BY, order: Sequence[str] = ("seq",), chunk: int = CHUNK) -> DataFrame:
     """``rows``, failing at run time at the first time that goes back."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ok = F.coalesce(F.col(time) >= F.lag(time).over(w), F.lit(True))
-    checked = rows.withColumn("__ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"{time} is not monotone")).cast("boolean")))
-    return checked.filter("__ok").drop("__ok")
+    known = with_last(in_chunks(rows, order[0], chunk), {"__before": F.col(time)}, by, order)
+    ok = F.coalesce(F.col(time) >= F.col("__before"), F.lit(True))
+    checked = known.withColumn("__ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"{time} is not monotone")).cast("boolean")))
+    return checked.filter("__ok").select(*rows.columns)
 
 
 def merge_events(depth: DataFrame, trades: DataFrame) -> DataFrame:

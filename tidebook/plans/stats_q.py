@@ -38,12 +38,21 @@ def l12_newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("session_id", "n", "lags", F.round("t_stat", 4).alias("t_stat"))
 
 
-@query()
+@query(f"""with {QL}, {OFI}, {OFI_POINTS}, z as (select session_id::varchar as win, horizon_ms, normalized_ofi as x, drift_bps as y, row_number() over (partition by session_id, horizon_ms order by time_ms) as t from s0
+union all select 'pooled', horizon_ms, normalized_ofi, drift_bps, row_number() over (partition by horizon_ms order by session_id, time_ms) from s0),
+f as (select win, horizon_ms, count(*) as n, avg(x) as mx, regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_r2(y, x) as r2, regr_sxx(y, x) as sxx from z group by 1, 2),
+l as (select *, least(n - 1, greatest(1, ceil(horizon_ms / {MIN30}::double), floor(4 * pow(n / 100.0, 2.0 / 9)))) as lags from f),
+u as (select z.win, z.horizon_ms, t, (y - a - b * x) * (x - mx) as s, lags from z join l using (win, horizon_ms)),
+nw as (select p.win, p.horizon_ms, sum(p.s * q.s * (1 - (p.t - q.t) / (p.lags + 1)) * case when p.t = q.t then 1 else 2 end) as meat from u p join u q on p.win = q.win and p.horizon_ms = q.horizon_ms and p.t - q.t between 0 and p.lags group by 1, 2)
+select win as "window", horizon_ms, n, round(b, 4) as beta, round(a, 2) as alpha, round(r2, 6) as r2, lags::bigint as lags, round(b / (sqrt(meat) / sxx), 4) as t_stat, round(b * sqrt(sxx / (n - 1)), 4) as drift_1std
+from l join nw using (win, horizon_ms)""")
 def l13_pooled_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window and pooled; the pooled one runs on across windows in their order."""
     rows = _samples(spark, sf_dir).withColumn("window", F.col("session_id").cast("string"))
     both = rows.unionByName(rows.withColumn("window", F.lit("pooled")))
-    return T.ols_hac(both, "normalized_ofi", "drift_bps", ["window", "horizon_ms"], ["session_id", "time_ms"], MIN30)
+    got = T.ols_hac(both, "normalized_ofi", "drift_bps", ["window", "horizon_ms"], ["session_id", "time_ms"], MIN30)
+    rounded = {"beta": 4, "alpha": 2, "r2": 6, "t_stat": 4, "drift_1std": 4}
+    return got.select("window", "horizon_ms", "n", "lags", *[F.round(c, d).alias(c) for c, d in rounded.items()])
 
 
 @query()

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from random import Random
 
+from ..functions.credit import parse_credit
+
 ZERO = Decimal(0)
 BUY, SELL = 1, -1
 NAMES = {BUY: "buy", SELL: "sell"}
@@ -49,14 +51,6 @@ class Settings:
         parse_credit(self.queue_credit)
 
 
-def parse_credit(value) -> Decimal:
-    """Queue credit in [0, 1]; zero in any spelling is 0."""
-    credit = Decimal(str(value))
-    if not credit.is_finite() or not 0 <= credit <= 1:
-        raise ValueError("queue credit must lie in [0, 1]")
-    return credit if credit else ZERO
-
-
 class Book:
     """Two sides of price -> quantity with their best prices on lazily cleaned heaps."""
 

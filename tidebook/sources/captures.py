@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,9 +146,21 @@ def write_results(tables: dict[str, DataFrame], root: str, provenance: dict[str,
     spark.createDataFrame([(canonical_json(provenance),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/provenance")
 
 
-def read_results(spark: SparkSession, root: str, names: Iterable[str]) -> tuple[dict[str, DataFrame], dict]:
-    text = spark.read.text(f"{root}/provenance").first()[0]
-    return {n: spark.read.parquet(f"{root}/{safe_component(n)}") for n in names}, json.loads(text)
+def read_results(spark: SparkSession, root: str, names: Iterable[str], require: Mapping[str, object] | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """Tables and provenance of a run; an error if the provenance lacks or contradicts any of ``require``.
+
+    A value of ``require`` is what must be found, or a function that says whether what was found will do.
+    """
+    told = json.loads(spark.read.text(f"{root}/provenance").first()[0])
+    wrong = []
+    for field, want in (require or {}).items():
+        if field not in told:
+            wrong.append(f"{field} is missing")
+        elif not (want(told[field]) if callable(want) else told[field] == want):
+            wrong.append(f"{field} is {told[field]!r}")
+    if wrong:
+        raise ValueError(f"{root} can't be used: {'; '.join(wrong)}")
+    return {n: spark.read.parquet(f"{root}/{safe_component(n)}") for n in names}, told
 
 
 def canonical_json(value: object) -> str:

@@ -13,6 +13,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("via"), F.col("label").alias("top"))
         moved = checkpointed(parents.join(up, F.col("label") == F.col("via"), "left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")))
+        tidy(parents.sparkSession)
         if moved.filter("moved").isEmpty():
             return moved.select("node", "label")
         parents = moved.select("node", "label")

@@ -91,3 +91,11 @@ def test_no_window_holds_more_than_a_chunk(spark):
     plan = S.bridge_snapshots(depth, by=(), chunk=60)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if " Window " in line or "Window [" in line]
     assert windows and all("__chunk" in w or "__fan" in w or "__of" in w for w in windows)
+
+
+def test_accepted_hours_tolerate_named_reasons_only(spark):
+    hours = spark.createDataFrame([(0, []), (1, ["no_trade_rows"]), (2, ["no_trade_rows", "depth_decode_error"])], "hour_ms long, rejection_reasons array<string>")
+    valid = lambda *names: [r["valid"] for r in I.accepted(hours, names).orderBy("hour_ms").collect()]
+    assert valid() == [True, False, False] and valid("no_trade_rows") == [True, True, False]
+    with pytest.raises(ValueError, match="no such reasons: x"):
+        I.accepted(hours, ["x"])

@@ -86,6 +86,14 @@ def rejections(hours: DataFrame, depth: DataFrame, trades: DataFrame, by: Sequen
     return rows.withColumn("rejection_reasons", reasons).withColumn("valid", F.size("rejection_reasons") == 0)
 
 
+def accepted(hours: DataFrame, tolerate: Sequence[str] = ()) -> DataFrame:
+    """``hours`` as ``rejections`` gives them, ``valid`` if no reason holds but those that a study tolerates."""
+    if unknown := sorted(set(tolerate) - set(REASONS)):
+        raise ValueError(f"no such reasons: {', '.join(unknown)}")
+    left = F.array_except("rejection_reasons", F.array(*[F.lit(r) for r in tolerate]).cast("array<string>"))
+    return hours.withColumn("valid", F.size(left) == 0)
+
+
 def snapshot_timing(depth: DataFrame, by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """One row per snapshot: how long until diffs came, bridged its id and reached the policy's boundary.
 

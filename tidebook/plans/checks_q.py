@@ -75,11 +75,16 @@ def b17_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejections(spark, sf_dir).select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_hours"))
 
 
-@query(f"""with {RECORDS}, ok as (select hour_ms from rj where reasons = ''), c as (select hour_ms, count(*) over (order by hour_ms range between current row and {HOUR} following) as n from ok)
-select hour_ms from c where n = 2""")
+#: What a study of depth between snapshots may tolerate; the other eight reasons hold.
+TOLERATED = ("no_depth_snapshot", "depth_sequence_gap", "no_trade_rows", "trade_sequence_gap", "trade_cross_hour_gap")
+
+
+@query(f"""with {RECORDS}, ok as (select hour_ms from rj where len(list_filter(string_split(reasons, ','), lambda r: r <> '' and r not in {TOLERATED})) = 0),
+c as (select hour_ms, count(*) over (order by hour_ms range between current row and {2 * HOUR} following) as n from ok) select hour_ms from c where n = 3""")
 def b19_accepted_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours that begin two accepted hours in a row: none of the thirteen reasons holds for either."""
-    return S.candidate_starts(_rejections(spark, sf_dir).select("stream", "hour_ms", "valid"), 2, by=("stream",)).select("hour_ms")
+    """Hours that begin three accepted hours in a row, by all thirteen reasons but the tolerated ones."""
+    hours = I.accepted(_rejections(spark, sf_dir), TOLERATED)
+    return S.candidate_starts(hours.select("stream", "hour_ms", "valid"), 3, by=("stream",)).select("hour_ms")
 
 
 @query("""with r as (select seq, seq % 97 = 0 as snap, time_ms as recv_ms, case when seq % 97 = 0 and seq % 2 = 0 then time_ms - 5 end as request_ms, case when seq % 97 <> 0 then time_ms end as time_ms,

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidebook.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk
+from tidebook.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, packing, secrets, sharding, topk, wordbpe
 from tidebook.llm.graph import components
 from tidebook.llm.wordbpe import WordBpe
 
@@ -56,6 +56,16 @@ def test_ids_are_those_of_the_library():
         assert own.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_full_table_keeps_the_chunks_used_most(monkeypatch):
+    monkeypatch.setattr(wordbpe, "MAX_CHUNKS", 40)
+    plain, own = Tokenizer.from_file(VOCAB), WordBpe(VOCAB)
+    for i in range(12):
+        texts = [f"often, it's {i}new{j} café{i}{j} {i}日{j} x'll-{j} the.the" for j in range(5)]
+        for ids, text in zip(own.encode(texts), texts):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert {"often,", "it's", "the.the"} <= set(own.at) and len(own.at) <= 40 + 5 * 7
+
+
 def test_pieces_give_the_documents_back(odd, empty):
     plain = Tokenizer.from_file(VOCAB)
     got = packing.pack(odd.dropDuplicates(["doc_id"]), VOCAB).collect()

@@ -333,6 +333,45 @@ def test_near_dedup_joins_short_and_evenly_edited_texts(spark):
         assert sum(found) >= 0.9 * len(found)
 
 
+def test_near_dedup_finds_pairs_that_differ_from_both_leaders_only_in_order(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(12)]
+    vocabulary = [f"w{i}" for i in range(30)]
+    # all texts have the same words, so that none is left over without a leader's; the pairs differ from the others by order
+    docs = []
+    for i in range(12):
+        own = passage + [vocabulary[j] for j in rng.permutation(30)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:20] + own[21:]))]
+    docs += [(100, " ".join(passage + vocabulary[:24])), (101, " ".join(passage + [vocabulary[j] for j in rng.permutation(30)] + vocabulary[:20]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 100 else i for i, _ in docs}
+
+
+def test_near_dedup_joins_what_leaders_leave_over_as_all_pairs_do(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(60):
+        n = int(rng.integers(4, 70))
+        words = rng.integers(0, 40, n).astype(np.uint64)
+        texts.append(words)
+        other = words.copy()
+        at = rng.choice(n, max(0, int(0.2 * n) - i % 2), replace=False)
+        other[at] = 100 + rng.integers(0, 9, len(at)).astype(np.uint64)
+        texts.append(np.insert(other, 0, 7) if i % 2 and n > 4 else other)
+    key = [int(np.log2(len(t)) * near_dedup.SIZE_CLASSES) << near_dedup.KEY_BITS | i for i, t in enumerate(texts)]
+    rows = [(k, k, bytearray(t.astype("<u4").tobytes())) for k, t in zip(key, texts)]
+    given = spark.createDataFrame(rows, "key long, label long, words binary")
+    pairs = near_dedup._rest_pairs(given.select("key", "label"), given.select("key", "words"))
+    linked = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in near_dedup._links(pairs, given.select("key", "words")).collect()}
+    similar = {
+        (min(key[i], key[j]), max(key[i], key[j]))
+        for i in range(len(texts))
+        for j in range(i)
+        if not np.array_equal(texts[i], texts[j]) and near_dedup.similar(texts[i], texts[j])
+    }
+    assert len(similar) > 40 and similar <= linked
+
+
 def test_near_dedup_with_null_ids_repeated_rows_and_own_names(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(None, words + " a"), (None, words + " b"), (1, "T one two"), (1, "T one two"), (2, "T one two"), (3, "alone here")]

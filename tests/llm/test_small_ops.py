@@ -372,6 +372,49 @@ def test_near_dedup_joins_what_leaders_leave_over_as_all_pairs_do(spark):
     assert len(similar) > 40 and similar <= linked
 
 
+def test_near_dedup_rules_strangers_out_before_it_aligns_them(spark):
+    """Texts of one small vocabulary share rare words, all with all; only those that may be similar become pairs."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(100):
+        words = rng.integers(0, 400, int(rng.integers(50, 250))).astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32)
+        other = words.copy()
+        other[rng.choice(len(words), len(words) // 5, replace=False)] = 5
+        texts += [words, other]
+    rows = [(i, i, bytearray(t.astype("<u4").tobytes())) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "key long, label long, words binary")
+    rest = {(r["a"], r["b"]) for r in near_dedup._rest_pairs(given.select("key", "label"), given.select("key", "words")).collect()}
+    wanted = {(i + 1, i) for i in range(0, 200, 2)}
+    assert wanted <= rest and len(rest) < 1000
+    about = spark.createDataFrame([(*r[::2], near_dedup.parities(t).tolist()) for r, t in zip(rows, texts)], "key long, words binary, parity array<long>")
+    every = spark.createDataFrame([(i, j) for i in range(200) for j in range(i)], "a long, b long")
+    led = {(r["a"], r["b"]) for r in near_dedup._leader_pairs(every, about).collect()}
+    assert wanted <= led and len(led) < 1000
+
+
+def test_near_dedup_parities_never_rule_out_a_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows, alike = [], []
+    for i in range(600):
+        n = int(rng.integers(1, 900))
+        a = rng.integers(0, 1 << 32, n).astype(np.uint64)
+        b, most = a.copy(), n // 5
+        for kind in rng.integers(0, 3, most) if i % 4 else [i // 4 % 3] * most:
+            at = int(rng.integers(0, max(1, len(b))))
+            word = rng.integers(0, 1 << 32, dtype=np.uint64)
+            if kind == 0:
+                b = np.insert(b, at, word)
+            elif kind == 1 and len(b) > 1:
+                b = np.delete(b, at)
+            else:
+                b[at] = word
+        alike.append(near_dedup.similar(a, b))
+        rows.append((i, len(a), len(b), near_dedup.parities(a).tolist(), near_dedup.parities(b).tolist()))
+    pairs = spark.createDataFrame(rows, "i long, n long, m long, p array<long>, q array<long>")
+    possible = {r["i"] for r in pairs.filter(near_dedup._possible("n", "m", "p", "q")).collect()}
+    assert sum(alike) > 300 and possible >= {i for i, ok in enumerate(alike) if ok}
+
+
 def test_near_dedup_with_null_ids_repeated_rows_and_own_names(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(None, words + " a"), (None, words + " b"), (1, "T one two"), (1, "T one two"), (2, "T one two"), (3, "alone here")]

@@ -119,7 +119,7 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def valid_ranges(hours: DataFrame, by: Sequence[str]) -> DataFrame:
     """Runs of valid hours in a row."""
     w = Window.partitionBy(*by).orderBy("hour_ms")
-    rows = hours.filter("valid").withColumn("__g", F.col("hour_ms") - F.row_number().over(w) * HOUR)
+    rows = hours.filter("valid").withColumn("__g", F.col("hour_ms") - F.row_number().over(w).cast("long") * HOUR)
     return rows.groupBy(*by, "__g").agg(F.min("hour_ms").alias("first_ms"), F.max("hour_ms").alias("last_ms"), F.count("*").alias("n_hours")).drop("__g")
 
 

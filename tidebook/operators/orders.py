@@ -76,16 +76,31 @@ def activation_summary(events: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return events.groupBy(*by, "event_type", F.coalesce(F.col("detail")["reason"], F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def open_loop_fills(orders: DataFrame, trades: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def open_loop_fills(orders: DataFrame, trades: DataFrame, by: Sequence[str] = BY, bucket_qty: int = 256) -> DataFrame:
     """Maker fills of single orders without cancel credit: the overlap of the volume traded at the price since
-    arrival with [queue, queue + qty). ``orders``: keys, order_id, side, price, qty, arrival_ms, queue."""
+    arrival with [queue, queue + qty). ``orders``: keys, order_id, side, price, qty, arrival_ms, queue.
+
+    Each trade covers an interval of the running volume at its price, and an order waits for the interval that begins
+    ``queue`` units after what was traded up to its arrival. Intervals meet in shared buckets of ``bucket_qty``
+    units, so that an order meets the few trades around its fills, not all that come after it.
+    """
     from pyspark.sql import Window
 
-    t = trades.withColumn("side", F.when(F.col("is_buyer_maker"), "buy").otherwise("sell")).select(*by, "side", "price", F.col("time_ms").alias("t_ms"), F.col("seq").alias("t_seq"), F.col("qty").alias("t_qty"))
-    j = orders.join(t, [*by, "side", "price"]).filter(F.col("t_ms") > F.col("arrival_ms"))
-    w = Window.partitionBy(*by, "order_id").orderBy("t_ms", "t_seq").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum("t_qty").over(w)
-    got = j.withColumn("hi", hi).withColumn(
-        "fill_qty", F.least("hi", F.col("queue") + F.col("qty")) - F.greatest(F.col("hi") - F.col("t_qty"), F.col("queue"))
-    )
+    line = [*by, "side", "price"]
+    t = trades.withColumn("side", F.when(F.col("is_buyer_maker"), "buy").otherwise("sell")).filter("qty > 0")
+    t = t.select(*line, F.col("time_ms").alias("t_ms"), F.col("seq").alias("t_seq"), F.col("qty").alias("t_qty"))
+    w = Window.partitionBy(*line).orderBy("t_ms", "t_seq").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("hi", F.sum("t_qty").over(w)).withColumn("lo", F.col("hi") - F.col("t_qty"))
+    # an interval that goes on beyond all trades is not cut into more buckets than these
+    o = asof(orders, t, line, ["hi"], at="arrival_ms", quote_time="t_ms", quote_seq="t_seq", prefix="__").join(t.groupBy(*line).agg(F.max("hi").alias("__all")), line)
+    o = o.withColumn("__lo", F.coalesce("__hi", F.lit(0)) + F.greatest("queue", F.lit(0)))
+    o = o.withColumn("__hi", F.least(F.coalesce("__hi", F.lit(0)) + F.col("queue") + F.col("qty"), F.col("__all")))
+
+    def cut(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+        span = F.sequence(F.floor(F.col(lo) / bucket_qty), F.greatest(F.floor(F.col(lo) / bucket_qty), F.ceil(F.col(hi) / bucket_qty) - 1))
+        return rows.filter(F.col(lo) < F.col(hi)).withColumn("__bucket", F.explode(span))
+
+    met = cut(o.select(*line, "order_id", "__lo", "__hi"), "__lo", "__hi").join(cut(t, "lo", "hi"), [*line, "__bucket"])
+    start = F.greatest("lo", "__lo")
+    got = met.filter(F.col("__bucket") == F.floor(start / bucket_qty)).withColumn("fill_qty", F.least("hi", "__hi") - start)  # each overlap once
     return got.filter("fill_qty > 0").select(*by, "order_id", F.col("t_ms").alias("time_ms"), "price", "fill_qty")

@@ -3,7 +3,7 @@
 import gzip
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidebook.functions import scalar as X
 from tidebook.operators import bars as A
 from tidebook.operators import book as B
+from tidebook.operators import orders as O
 from tidebook.operators import pnl as P
+from tidebook.operators import reports as R
 from tidebook.operators import signals as S
 from tidebook.operators import stats as T
 from tidebook.operators import streams as G
@@ -319,3 +321,65 @@ def test_snapshot_timing(spark):
         (1, 9, True, 400, None, None, None, None, False, None, None, None, False, 0),
     ]
     assert snapshot_timing(spark.createDataFrame([], schema), ("k",)).count() == 0
+
+
+def test_range_of_more_hours_than_an_int_has_milliseconds(spark):
+    hour, n = 3_600_000, 700
+    hours = spark.range(n).select((F.col("id") * hour).alias("hour_ms"), F.lit(True).alias("valid"))
+    got = R.range_summary(R.valid_ranges(hours, []), []).first()
+    assert (got["n_ranges"], got["longest"], got["first_ms"], got["last_ms"]) == (1, n, 0, (n - 1) * hour)
+
+
+def found_text(rows):
+    return sorted(str(tuple(v + 0.0 if isinstance(v, float) else v for v in r)) for r in rows)  # without the sign of zero
+
+
+def test_markouts_at_a_price_of_zero(spark, tmp_path):
+    """Infinite or no number, as the SQL has them: bought and sold at zero, and at a mid of zero."""
+    import duckdb
+
+    from tidebook.registry import ORACLES, QUERIES
+
+    rows = [("purchase", k, 0.0 if k < 6 else 1.0 + k) for k in range(60)] + [("view", k, 5.0 + k % 7) for k in range(300)]
+    con = duckdb.connect()
+    con.execute("create table given (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    # ids fall with time, so that the first row of a cluster isn't the one with the least id
+    start = datetime(2024, 1, 1)
+    given = [(1000 - i, start + timedelta(seconds=(i * 977) % 86400), i % 8, kind, value, f'{{"k": {k}}}') for i, (kind, k, value) in enumerate(rows)]
+    con.executemany("insert into given values (?, ?, ?, ?, ?, ?)", given)
+    con.execute(f"copy given to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    names = "f13_distribution f14_tail_shares f1_markout_summary f8_fill_rate_bins g5_tail_flags g5_tail_flags_by_window g7_e10_tail_clusters l1_markouts l23_cluster_rollup".split()
+    for name in names:
+        got = QUERIES[name](spark, str(tmp_path))
+        cols = ", ".join(sorted(f'"{c}"' for c in got.columns))
+        found, expected = [tuple(r[c.strip('"')] for c in cols.split(", ")) for r in got.collect()], con.execute(f"select {cols} from ({ORACLES[name]})").fetchall()
+        assert len(found) > 1 and found_text(found) == found_text(expected), name
+
+
+def test_open_loop_fills_meet_only_the_trades_around_them(spark):
+    n = 2000
+    orders = spark.range(n).select(F.col("id").alias("order_id"), F.lit(0).alias("session_id"), F.lit("buy").alias("side"), F.lit(1).alias("price"), (F.col("id") % 4 * 300 + 1).alias("qty"), F.col("id").alias("arrival_ms"), (F.col("id") % 3 * 7).alias("queue"))
+    trades = spark.range(n).select(F.lit(0).alias("session_id"), F.lit(1).alias("price"), (F.col("id") / 2).cast("long").alias("time_ms"), F.col("id").alias("seq"), (F.col("id") % 5).alias("qty"), F.lit(True).alias("is_buyer_maker"))
+    got = O.open_loop_fills(orders, trades)
+    expected = []
+    for o in orders.collect():
+        lo, hi, at = o["queue"], o["queue"] + o["qty"], 0
+        for t in range(n):
+            if t // 2 > o["arrival_ms"]:
+                fill = min(at + t % 5, hi) - max(at, lo)
+                at += t % 5
+                if fill > 0:
+                    expected.append((o["order_id"], t // 2, fill))
+    assert sorted((r["order_id"], r["time_ms"], r["fill_qty"]) for r in got.collect()) == sorted(expected)
+
+
+def test_open_loop_fills_join_by_bucket(spark):
+    """All orders with all later trades at the price would be 200 million rows here, of which each window holds thousands."""
+    n = 20_000
+    line = (F.lit(0).alias("session_id"), F.lit(1).alias("price"))
+    orders = spark.range(n).select(F.col("id").alias("order_id"), *line, F.lit("buy").alias("side"), F.lit(2).alias("qty"), F.col("id").alias("arrival_ms"), F.lit(3).alias("queue"))
+    trades = spark.range(n).select(*line, F.col("id").alias("time_ms"), F.col("id").alias("seq"), F.lit(50).alias("qty"), F.lit(True).alias("is_buyer_maker"))
+    got = O.open_loop_fills(orders, trades)
+    assert "__bucket" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.count("*"), F.sum("fill_qty"), F.max(F.col("time_ms") - F.col("order_id"))).first() == (n - 1, 2 * (n - 1), 1)

@@ -24,6 +24,12 @@ def bps(value: Column, base: Column) -> Column:
     return F.try_divide(value.cast("double"), base.cast("double")) * 10_000.0
 
 
+def ratio(value: Column, base: Column) -> Column:
+    """``value`` / ``base`` as doubles: by zero it is infinite, or not a number if both are zero, as in DuckDB."""
+    v, b = value.cast("double"), base.cast("double")
+    return F.when(b == 0, v * F.lit(float("inf"))).otherwise(F.try_divide(v, b))
+
+
 def ceil_to(value: Column, step: int) -> Column:
     return (F.ceil(value / F.lit(float(step))) * step).cast("long")
 

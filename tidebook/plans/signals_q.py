@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import view
@@ -30,6 +30,11 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in cols})
 
 
+def signed(name: str) -> Column:
+    """``name`` to 6 digits; a zero keeps its sign, as in SQL."""
+    return F.when(F.col(name) == 0, F.col(name)).otherwise(F.round(name, 6)).alias(name)
+
+
 @query(f"""with {QL} select f.fill_id, g.seq as q_seq, g.mid as q_mid from fills f
 asof left join ql g on f.session_id = g.session_id and f.time_ms >= g.time_ms""")
 def d1_asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def d6_grid_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {QL}, {MARKOUTS} select fill_id, horizon_ms, sample_ms, mid, markout, round(markout / price * 10000, 6) as markout_bps from m""")
 def l1_markouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = P.markouts(view(spark, sf_dir, "fills"), view(spark, sf_dir, "quotes"), H)
-    return r6(got.select("fill_id", "horizon_ms", "sample_ms", "mid", "markout", "markout_bps"), "markout_bps")
+    return got.select("fill_id", "horizon_ms", "sample_ms", "mid", "markout", signed("markout_bps"))
 
 
 @query(f"""with {QL}, {MARKOUTS}, s as (select horizon_ms, count(*) as n, avg(markout / price * 10000) as mean, list_sort(list(markout / price * 10000)) as v from m group by 1),

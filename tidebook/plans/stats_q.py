@@ -14,7 +14,7 @@ from ..operators import stats as T
 from ..operators import windows as W
 from ..operators.asof import asof, grid
 from ..registry import query
-from .signals_q import EDGES, LOTS, MARKOUTS, OFI, OFI_POINTS, PNL, QL, HOUR, MIN30, H, _lots, _samples, _toxicity, r6
+from .signals_q import EDGES, LOTS, MARKOUTS, OFI, OFI_POINTS, PNL, QL, HOUR, MIN30, H, _lots, _samples, _toxicity, r6, signed
 
 COMMON = ("n", "x_mean", "y_mean", "alpha", "beta", "r2")
 
@@ -57,7 +57,7 @@ def l13_pooled_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l14_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = P.markouts(view(spark, sf_dir, "fills"), view(spark, sf_dir, "quotes"), H)
+    marks = P.markouts(view(spark, sf_dir, "fills").filter("price <> 0"), view(spark, sf_dir, "quotes"), H)
     per = marks.groupBy("session_id", "horizon_ms").agg(F.avg("markout_bps").alias("m"))
     return T.bootstrap_mean(per, "m", ["horizon_ms"], ["session_id"])
 
@@ -112,7 +112,7 @@ select tail_label, count(*) as tail_n, round(sum(mbps), 3) as tail_sum, round(su
 from r, k where rk <= greatest(1, round(n * f)) group by 1""")
 def f14_tail_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = T.tail_shares(_marks(spark, sf_dir), "markout_bps", ["fill_id"])
-    return got.select("tail_label", "tail_n", F.round("tail_sum", 3).alias("tail_sum"), F.round("share_of_total", 6).alias("share_of_total"), F.round("share_of_negative", 6).alias("share_of_negative"))
+    return got.select("tail_label", "tail_n", F.round("tail_sum", 3).alias("tail_sum"), signed("share_of_total"), signed("share_of_negative"))
 
 
 CLUSTERS = f"""{MK}, c0 as (select *, coalesce(time_ms - lag(time_ms) over (partition by session_id order by time_ms, fill_id) > {HOUR}, true) as apart from mk where mbps < 0),

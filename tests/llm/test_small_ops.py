@@ -569,3 +569,13 @@ def test_line_variants_grow_in_proportion(spark):
 
     few, many = a_line(200), a_line(800)
     assert few < 60 and many < 60
+
+
+def test_leaders_of_buckets(spark):
+    """Each member is paired with the least and the greatest key of its bucket, by one shuffle of the members."""
+    from tidebook.llm import near_dedup
+
+    rows = [(7, k) for k in (1, 2, 3, 4, 5)] + [(8, 9)] + [(9, 1), (9, 5)] + [(10, 4), (10, 4)]
+    pairs, met = near_dedup._pairs(spark.createDataFrame(rows, "bucket long, key long"))
+    assert sorted(map(tuple, pairs.collect())) == [(2, 1), (3, 1), (4, 1), (5, 1), (5, 2), (5, 3), (5, 4)]
+    assert sorted(map(tuple, met.collect())) == [(7, k) for k in (1, 2, 3, 4, 5)]
